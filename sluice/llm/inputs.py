@@ -29,3 +29,13 @@ def pages_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source_id, fetch_id, raw_html`` of pages with a non-empty ``raw_html``."""
     pages = fetched(spark, sf_dir, "run_id", "raw_html").filter(F.length("raw_html") > 0)
     return pages.join(lookup(sources_of_runs(spark, sf_dir)), "run_id").select("source_id", "fetch_id", "raw_html")
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, source_id, file, page_no, page_text, scanned``: repeated rows once, scanned if the file was read by ocr."""
+    file = lambda c: F.regexp_replace(c, r"^(\./)+", "")
+    records = table(spark, sf_dir, "doc_records").filter("local_path is not null and extract_method is not null")
+    files = records.groupBy(file("local_path").alias("file")).agg(F.bool_or(F.lower(F.trim("extract_method")) == "ocr").alias("scanned"))
+    pages = first_rows(table(spark, sf_dir, "page_texts"), "page_id", "source_id", "local_path", "page_no", "page_text")
+    pages = pages.select("page_id", "source_id", file("local_path").alias("file"), "page_no", "page_text")
+    return pages.join(lookup(files), "file", "left").select("page_id", "source_id", "file", "page_no", "page_text", F.coalesce("scanned", F.lit(False)).alias("scanned"))
