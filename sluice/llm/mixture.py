@@ -95,10 +95,10 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text_
         return spark.createDataFrame([], mix_type), spark.createDataFrame([], share_type)
     whole = sum(g.target_share for g in goals)
     number = spark.createDataFrame([(g.source, j) for j, g in enumerate(goals)], "_name string, j int")
-    rows = documents.filter(F.col(tokens) > 0).join(F.broadcast(number), F.col(source) == F.col("_name"))
+    rows = documents.select(F.col(key).alias("id"), F.col(text_key).alias("text_key"), F.col(source).alias("_name"), F.col(tokens).alias("n")).filter("n > 0").join(F.broadcast(number), "_name")
     texts = scratch(
-        rows.groupBy(F.col(text_key).alias("text_key"), "j").agg(F.min(key).alias("id"), F.min(tokens).alias("n")).groupBy("text_key").agg(
-            F.sum(F.shiftleft(F.lit(1).cast("bigint"), 0) * F.expr("shiftleft(1L, j)")).alias("mask"), F.map_from_entries(F.collect_list(F.struct("j", "id"))).alias("ids"), F.min("n").alias("n")
+        rows.groupBy("text_key", "j").agg(F.min("id").alias("id"), F.min("n").alias("n")).groupBy("text_key").agg(
+            F.sum(F.expr("shiftleft(1L, j)")).alias("mask"), F.map_from_entries(F.collect_list(F.struct("j", "id"))).alias("ids"), F.min("n").alias("n")
         )  # a text is in at most MAX_TARGETS sources
         .withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "text_key"), F.lit(BUCKETS * BUCKETS))).select("mask", "ids", "n", F.expr(f"cast(h div {BUCKETS} as int)").alias("h1"), F.expr(f"cast(h % {BUCKETS} as int)").alias("h2"))
     )

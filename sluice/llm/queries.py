@@ -49,6 +49,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.analyse(inputs.page_texts(spark, d))[0].select("page_id", "line_no", "kind")
 
 
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired text of every scanned page."""
+    return scans.repair(inputs.page_texts(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows of later batches whose document an earlier batch had already brought."""
     return history.repeated_documents(inputs.fetched(spark, d, "batch_no", "source_url", "raw_html"))
