@@ -20,7 +20,7 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     p = F.lower("path")
     kind = F.when(p.rlike(r"\.html?$"), "html").when(p.rlike(r"\.(txt|md)$") | ~F.element_at(F.split("path", "/"), -1).contains("."), "text").otherwise("pdf")
     f = f.select("path", kind.alias("kind"), "content")
-    body = F.decode("content", F.lit("UTF-8"))
+    body = F.decode("content", "UTF-8")
     pages = f.filter("kind = 'html'").select("path", "kind", html_text(body).alias("text"), F.lit("html").alias("method"), F.lit(None).cast("string").alias("error"))
     texts = f.filter("kind = 'text'").select("path", "kind", body.alias("text"), F.lit("text").alias("method"), F.lit(None).cast("string").alias("error"))
     from sluice.operators.analysis import read_pdfs
