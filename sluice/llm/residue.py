@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.markup import blocks
+from sluice.functions.markup import Page, blocks
 from sluice.llm import content, phrases
 from sluice.operators.scale import scratch
 
@@ -60,12 +60,17 @@ def is_trusted(words: list[str]) -> bool:
 
 
 def page_passages(html: str, vocabulary: Vocabulary):
-    """Of one page: lengths, flags and hashed words of its passages (but for link lists), and its own ``p`` elements."""
+    """``passages_of`` a page."""
     page = blocks(html)
     tokenized = [content.tokens(b.text) for b in page.blocks]
+    return passages_of(page, tokenized, content.own_blocks(page, tokenized), vocabulary)
+
+
+def passages_of(page: Page, tokenized: list[list[str]], own: list[bool], vocabulary: Vocabulary):
+    """Of one page: lengths, flags and hashed words of its passages (but for link lists), and its own ``p`` elements."""
     n_words, flags, toks, own_p = [], [], [], []
     bucket = vocabulary.__getitem__
-    for b, words, mine in zip(page.blocks, tokenized, content.own_blocks(page, tokenized)):
+    for b, words, mine in zip(page.blocks, tokenized, own):
         if mine and b.p_no and (not own_p or own_p[-1] != b.p_no):
             own_p.append(b.p_no)
         if words and (mine or 2 * b.link_chars < len(b.text)):
@@ -207,6 +212,10 @@ def residue(pages: DataFrame, key: str = "fetch_id", html: str = "raw_html", rou
     Result: ``key, residue_words, real_words, n_passages, is_residue, own_p`` where ``own_p`` are
     the numbers of the ``p`` elements that belong to the page's own document.
     """
-    table = scratch(passages(pages, key, html))
+    return judge(scratch(passages(pages, key, html)), key, rounds, max_real)
+
+
+def judge(table: DataFrame, key: str, rounds: int = 4, max_real: float = 0.6) -> DataFrame:
+    """``residue`` of pages already cut into passages, in a table that can be read again and again."""
     weight, bias = fit(table, rounds)
     return decide(table, key, weight, bias, max_real)
