@@ -65,72 +65,74 @@ def blocks(html: str) -> Page:
     link: list[str] = []
     pos = n_p = p_no = 0
     box, tag, in_head, in_a = 0, "", False, False
-    find = _TOKEN.search
 
     def flush() -> None:
-        if buf:
-            text = "".join(buf)
-            if "&" in text:
-                text = unescape(text)
-            text = " ".join(text.split())
-            if text:
-                n = len(" ".join(unescape("".join(link)).split())) if link else 0
-                out.append(Block(text, min(n, len(text)), tag, p_no, box))
-            buf.clear()
-            link.clear()
-
-    while m := find(html, pos):
+        text = "".join(buf)
+        if "&" in text:
+            text = unescape(text)
+        text = " ".join(text.split())
+        if text:
+            n = len(" ".join(unescape("".join(link)).split())) if link else 0
+            out.append(Block(text, n if n < len(text) else len(text), tag, p_no, box))
+        buf.clear()
+        link.clear()
+
+    for m in _TOKEN.finditer(html):
         start, end = m.span()
         if start > pos and not in_head:
             buf.append(s := html[pos:start])
             if in_a:
                 link.append(s)
         pos = end
-        name = m["name"] or m["name2"]
+        raw, close, name, attrs, close2, name2 = m.groups()
         if not name:
-            if m["raw"]:
-                flush()
-            n_p += len(_P_OPEN.findall(m[0]))
-            continue
+            if not name2:
+                if raw and buf:
+                    flush()
+                if "<p" in (whole := m[0]) or "<P" in whole:
+                    n_p += len(_P_OPEN.findall(whole))
+                continue
+            name, close = name2, close2
         name = name.lower()
-        closing = bool(m["close"] or m["close2"])
         if name in INLINE:
             if name == "a":
-                in_a = not closing
+                in_a = not close
             continue
-        flush()
+        if buf:
+            flush()
         if name == "head":
-            in_head = not closing
+            in_head = not close
             continue
         if in_head and name not in HEAD_ONLY:
             in_head = False
         if name == "p":
-            if closing:
+            if close:
                 p_no, tag = 0, ""
             else:
                 n_p += 1
                 p_no, tag = n_p, "p"
             in_a = False
         elif name in BOXES:
-            p_no, tag, in_a = 0, "" if closing else name, False
-            if closing:
+            p_no, tag, in_a = 0, "" if close else name, False
+            if close:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
                         break
                 box = stack[-1][1] if stack else 0
             else:
-                words = " ".join(a or b or c for a, b, c in _CLASS.findall(m["attrs"])).lower() if m["attrs"] else ""
+                words = " ".join(a or b or c for a, b, c in _CLASS.findall(attrs)).lower() if attrs else ""
                 boxes.append((box, name, words))
                 box = len(boxes) - 1
                 stack.append((name, box))
         elif name not in VOID:
-            p_no, tag, in_a = 0, "" if closing else name, False
+            p_no, tag, in_a = 0, "" if close else name, False
     if not in_head:
         buf.append(html[pos:])
         if in_a:
             link.append(html[pos:])
-    flush()
+    if buf:
+        flush()
     return Page(out, boxes, n_p)
 
 
