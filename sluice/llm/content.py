@@ -27,6 +27,7 @@ PLACEHOLDER = re.compile(
 )
 _MAYBE = re.compile(r"[{<\[_«#%@(]|XXXX")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NO_TITLE = frozenset(("li", "td"))
 FEATURES = (
     "words link prev_words prev_link next_words next_link group_size group_link head_teaser "
     "boiler prev_boiler next_boiler box_words box_link box_teaser heading"
@@ -71,45 +72,46 @@ def features(page: Page, tokenized: list[list[str]] | None = None) -> list[tuple
     boiler_of, head_of = weights()
     bl, boxes = page.blocks, page.boxes
     n = len(bl)
+    if not n:
+        return []
     if tokenized is None:
         tokenized = [tokens(b.text) for b in bl]
     words = [b.text.count(" ") + 1 for b in bl]
-    link = [b.link_chars / len(b.text) for b in bl]
+    link = [b.link_chars / len(b.text) if b.link_chars else 0.0 for b in bl]
     boiler = [score(t, boiler_of) for t in tokenized]
     # A group is what follows a heading, or a title of its own, within one box.
-    group, heads, teaser = [0] * n, [0.0], 0.0
-    head = [b.tag in HEADINGS or (w <= 6 and x < 0.5 and b.text[-1] not in ".!?:;" and not b.p_no and b.tag not in ("li", "td")) for b, w, x in zip(bl, words, link)]
-    before = -1
-    for k, b in enumerate(bl):
-        if head[k]:
-            teaser = score(tokenized[k], head_of)
-            heads.append(teaser)
-        elif k and b.box != bl[k - 1].box and not (head[k - 1] and boxes[bl[k - 1].box][0] == b.box):
-            heads.append(0.0)
-        group[k] = len(heads) - 1
-    size, linked = [0] * len(heads), [0] * len(heads)
-    box_words, box_linked, box_teaser = [0] * len(boxes), [0] * len(boxes), [0.0] * len(boxes)
-    for k, b in enumerate(bl):
-        g, linked_words = group[k], words[k] * link[k]
-        box_words[b.box] += words[k]
-        box_linked[b.box] += linked_words
-        if head[k]:
-            box_teaser[b.box] = max(box_teaser[b.box], heads[g])
+    head = [b.tag in HEADINGS or (w <= 6 and x < 0.5 and not b.p_no and b.tag not in _NO_TITLE and b.text[-1] not in ".!?:;") for b, w, x in zip(bl, words, link)]
+    group, heads, size, linked = [], [0.0], [0], [0]
+    box_words, box_linked, box_teaser = [0] * len(boxes), [0.0] * len(boxes), [0.0] * len(boxes)
+    before, after_head = bl[0].box, True
+    for b, w, x, h, t in zip(bl, words, link, head, tokenized):
+        box = b.box
+        if h:
+            heads.append(teaser := score(t, head_of))
+            size.append(0)
+            linked.append(0)
+            if teaser > box_teaser[box]:
+                box_teaser[box] = teaser
         else:
-            size[g] += 1
-            linked[g] += link[k] > 0.5
-    out = []
-    for k, b in enumerate(bl):
-        g, p, q = group[k], k - 1, k + 1
-        out.append((
-            words[k], link[k],
-            words[p] if p >= 0 else 0, link[p] if p >= 0 else 0.0,
-            words[q] if q < n else 0, link[q] if q < n else 0.0,
-            size[g], linked[g] / size[g] if size[g] else 0.0, heads[g],
-            boiler[k], boiler[p] if p >= 0 else 0.0, boiler[q] if q < n else 0.0,
-            box_words[b.box], box_linked[b.box] / box_words[b.box], box_teaser[b.box], float(head[k]),
-        ))
-    return out
+            if box != before and not (after_head and boxes[before][0] == box):
+                heads.append(0.0)
+                size.append(0)
+                linked.append(0)
+            size[-1] += 1
+            linked[-1] += x > 0.5
+        group.append(len(heads) - 1)
+        box_words[box] += w
+        box_linked[box] += w * x
+        before, after_head = box, h
+    share = [k / s if s else 0.0 for k, s in zip(linked, size)]
+    box_share = [k / s if s else 0.0 for k, s in zip(box_linked, box_words)]
+    at = [b.box for b in bl]
+    return list(zip(
+        words, link, [0, *words[:-1]], [0.0, *link[:-1]], [*words[1:], 0], [*link[1:], 0.0],
+        [size[g] for g in group], [share[g] for g in group], [heads[g] for g in group],
+        boiler, [0.0, *boiler[:-1]], [*boiler[1:], 0.0],
+        [box_words[k] for k in at], [box_share[k] for k in at], [box_teaser[k] for k in at], map(float, head),
+    ))
 
 
 def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):

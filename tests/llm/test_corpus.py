@@ -132,6 +132,15 @@ def test_history_batch_by_batch(spark, tmp_path):
     assert got == brute_history(rows)
 
 
+def test_keys_of_a_batch_are_those_of_each_text():
+    r = random.Random(2)
+    texts = [[[r.randrange(1 << 40) for _ in range(r.randint(1, 40))] for _ in range(r.randint(1, 6))] for _ in range(20)]
+    whole, keys, off = history.batch_keys(texts)
+    for k, t in enumerate(texts):
+        w, own, _ = history.batch_keys([t])
+        assert w[0] == whole[k] and own.tolist() == keys[off[k] : off[k + 1]].tolist()
+
+
 def test_common_words():
     r = random.Random(3)
     for _ in range(50):
