@@ -17,10 +17,12 @@ def scan_pages(spark):
     words = (TEXT * 40).split()
     clean = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
     rows = [(1, "town-one", "clean.pdf", 1, clean, False)]
-    for n in range(1, 4):
-        body = ["The commit-", "tee heard a report on the cornmittee", "and the long-", "term plan.", "", "Members n0ted the har¬"]
-        rows.append((10 + n, "town-one", "scan.pdf", n, "\n".join([f"Town Board Minutes      - {n} -", "", *body, "", "Prlnted 3.4.2024" if n == 2 else "Printed 3.4.2024"]), True))
-        rows[-1] = rows[-1][:4] + (rows[-1][4].replace("The commit-", ("bour crane. " if n > 1 else "") + "The commit-"),) + rows[-1][5:]
+    for n, name in enumerate(("alpha", "beta", "gamma"), 1):
+        body = [f"Paper {name} was read.", f"Next {name} it was.", "The commit-", "tee heard a report on the cornmittee", "and the long-", "term plan.", "", f"Members {name} asked.", f"They n0ted {name} the har¬"]
+        if n > 1:
+            body[0] = "bour crane. " + body[0]
+        lines = [f"Town Board Minutes      - {n} -", "", *body, "", "Prlnted 3.4.2024" if n == 2 else "Printed 3.4.2024"]
+        rows.append((10 + n, "town-one", "scan.pdf", n, "\n".join(lines), True))
     rows += [(20, "town-one", "scan.pdf", 9, None, True), (21, None, None, None, "", True), (22, None, None, None, "One line", True)]
     return spark.createDataFrame(rows, "page_id bigint, source_id string, file string, page_no int, page_text string, scanned boolean").withColumn("furniture", F.lit("extra"))
 
@@ -29,17 +31,16 @@ def test_scan_lines(spark):
     lines, brk, fixes = scans.analyse(scan_pages(spark))
     got = {(r.page_id, r.line_no, r.kind) for r in lines.collect()}
     for n in (11, 12, 13):
-        assert {(n, 1, "furniture"), (n, 10, "furniture"), (n, 3, "hyphen"), (n, 4, "misread"), (n, 8, "misread")} <= got
-        assert (n, 5, "hyphen") not in got
-    assert (11, 8, "hyphen") in got and (12, 8, "hyphen") in got and (13, 8, "hyphen") not in got
+        assert {g[1:] for g in got if g[0] == n} - {(11, "hyphen")} == {(1, "furniture"), (13, "furniture"), (5, "hyphen"), (6, "misread"), (11, "misread")}
+    assert (11, 11, "hyphen") in got and (12, 11, "hyphen") in got and (13, 11, "hyphen") not in got
     assert not [g for g in got if g[0] in (1, 20, 21, 22)]
     assert {r.word: r.right for r in fixes.collect()}["cornmittee"] == "committee"
 
 
 def test_scan_text(spark):
     got = {r.page_id: r.text for r in scans.repair(scan_pages(spark)).collect()}
-    assert got[11] == "The committee heard a report on the committee and the long-term plan.\n\nMembers noted the harbour"
-    assert got[12].startswith("crane. The committee heard") and 1 not in got and got[22] == "One line"
+    assert got[11] == "Paper alpha was read. Next alpha it was. The committee heard a report on the committee and the long-term plan.\n\nMembers alpha asked. They noted alpha the harbour"
+    assert got[12].startswith("crane. Paper beta was read.") and 1 not in got and got[22] == "One line"
 
 
 def test_scans_of_nothing(spark):
@@ -273,7 +274,9 @@ def test_gradient():
 
 
 def test_named_queries(spark, data):
-    for name in ("p5_found", "p6_found", "p8_shares", "p9_found"):
-        rows = [tuple(r) for r in queries.queries()[name](spark, data).collect()]
+    columns = {"p5_found": ["page_id", "line_no", "kind"], "p6_found": ["first_id", "dup_id"], "p7_ids": ["doc_id", "ids"], "p9_found": ["doc_id", "subject"]}
+    for name, want in columns.items():
+        df = queries.queries()[name](spark, data)
+        assert df.columns == want
+        rows = [str(r) for r in df.collect()]
         assert len(rows) == len(set(rows))
-    assert len(rows[0]) == 2

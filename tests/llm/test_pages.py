@@ -89,7 +89,7 @@ def test_repeated_lines_small(spark):
     r = random.Random(4)
     rows = []
     for i in range(30):
-        body = [f"Unique text number word{r.random()} here", "Share this page", "ab", "12", f"Line {i % 3} of many"] + ["A very long legal notice that goes on and on, " * 8] * 2
+        body = ["Unique text " + "".join(r.choice("abcdefghij") for _ in range(20)) + " here", "Share this page", "ab", "12", f"Line {i % 3} of many"] + ["A very long legal notice that goes on and on, " * 8] * 2
         r.shuffle(body)
         rows.append(("s", i, "".join(f"<p>{b}</p>" for b in body)))
     rows += [("t", 100 + i, "<p>Share this page</p>") for i in range(4)] + [("u", 200, None), (None, 201, "<p>x</p>"), ("u", 202, "")]
