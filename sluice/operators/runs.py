@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.urls import url_skeleton
+from sluice.operators.scale import lookup
 
 #: A text of so many characters is usable; after so many failures in a row a source rests.
 USEFUL_CHARS, QUARANTINE_AFTER = 500, 3
@@ -45,7 +46,7 @@ def learned_pattern(urls: DataFrame, group: str, url: str) -> DataFrame:
 
 def keeps_shape(urls: DataFrame, patterns: DataFrame, group: str, url: str) -> DataFrame:
     """``group, keeps``: whether all addresses of a group match its learned pattern; true where either is missing."""
-    joined = urls.join(patterns.select(group, "pattern"), group, "left")
+    joined = urls.join(lookup(patterns.select(group, "pattern")), group, "left")
     return joined.groupBy(group).agg(F.coalesce(F.bool_and(F.coalesce(F.regexp_like(url, F.col("pattern")), F.lit(True))), F.lit(True)).alias("keeps"))
 
 
@@ -67,8 +68,8 @@ def fold_memory(runs: DataFrame, source: str = "source_id", at: str = "started_a
     ok = F.col("status") == "ok"
     last_ok = runs.filter(ok).groupBy(source).agg(F.max(key).alias("_ok"), *([F.max_by(pattern, F.when(F.col(pattern).isNotNull(), key)).alias("_pattern")] if pattern else [F.lit(None).cast("string").alias("_pattern")]))
     after = F.col("_ok").isNull() | (key > F.col("_ok"))
-    # Nulls sort first in structs as in the order of runs.
-    got = runs.join(last_ok, source, "left").groupBy(source).agg(
+    # Nulls sort first in structs as in the order of runs. There is a row for each source, far fewer than runs.
+    got = runs.join(lookup(last_ok), source, "left").groupBy(source).agg(
         F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("failure_count"), F.count_if(~ok & after).alias("consecutive_failures"),
         F.max_by("status", key).alias("last_status"), F.max(F.when(F.col("_ok").isNotNull(), F.col("_ok")[at])).alias("last_ok_at"), F.max_by(F.col(at), key).alias("last_run_at"),
         F.max_by(F.when(~ok, F.col("error")), key).alias("last_error"), F.first("_pattern").alias("doc_url_pattern"),
@@ -89,7 +90,11 @@ def fold_memory(runs: DataFrame, source: str = "source_id", at: str = "started_a
 
 
 def streaks(runs: DataFrame, source: str = "source_id", at: str = "started_at", tie: str = "run_id") -> DataFrame:
-    """Every run with the failures in a row up to it and the status of the run before."""
+    """Every run with the failures in a row up to it and the status of the run before.
+
+    The one operator that sorts a source's runs within a task (spilling to disk where they are many), as every run
+    needs its place; the memory itself comes from ``fold_memory``, which does not.
+    """
     w = Window.partitionBy(source).orderBy(F.col(at).asc_nulls_first(), tie)
     ok = (F.col("status") == "ok").cast("int")
     island = runs.withColumn("_island", F.sum(ok).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("previous_status", F.lag("status").over(w))
