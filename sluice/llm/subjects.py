@@ -14,6 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ PARTS = 4
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _DROP = re.compile(r"[​-‏⁠­﻿]")
-_SENTENCE = re.compile(r"[.!?。]+(?=\s)|[\n\r]+|[.!?。]+$")
+#: Ends of sentences besides a full stop and a blank; all are turned into that.
+_ENDS = ("\n", "\r", "! ", "? ", "。")
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -41,7 +43,10 @@ def sentences(text: str) -> list[list[str]]:
     text = _DROP.sub("", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    found = (_WORD.findall(s) for s in _SENTENCE.split(text.lower()))
+    text = text.lower().replace("\t", " ")
+    for end in _ENDS:
+        text = text.replace(end, ". ")
+    found = map(_WORD.findall, text.split(". "))
     return [s for s in found if len(s) > 1]
 
 
@@ -71,7 +76,7 @@ class Shard:
         self.tok = np.array(tok, np.int64)
         self.doc = np.repeat(np.arange(len(documents)), self.n)
         self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]])
-        self.by_word = np.argsort(self.tok, kind="stable")
+        self.doc_by_word = self.doc[np.argsort(self.tok, kind="stable")]
         counts = np.bincount(self.tok, minlength=len(ids))
         self.word_start = np.concatenate([[0], np.cumsum(counts)[:-1]])
         feats = [word_features(w) for w in ids]
@@ -80,18 +85,19 @@ class Shard:
         self.feat_start = np.concatenate([[0], np.cumsum(self.k)[:-1]])
         self.word = np.repeat(np.arange(len(ids)), self.k)
         self.used, inverse = np.unique(self.feat, return_inverse=True)
-        self.by_feat = np.argsort(inverse, kind="stable")
+        self.word_by_feat = self.word[np.argsort(inverse, kind="stable")]
         fc = np.bincount(inverse)
         self.used_start = np.concatenate([[0], np.cumsum(fc)[:-1]])
 
     def gradient(self, e: np.ndarray, w: np.ndarray, b: np.ndarray):
-        v = np.add.reduceat(e[self.feat], self.feat_start) / self.k[:, None]
-        h = np.add.reduceat(v[self.tok], self.start) / self.n[:, None]
+        k, n = self.k.astype(e.dtype)[:, None], self.n.astype(e.dtype)[:, None]
+        v = np.add.reduceat(e[self.feat], self.feat_start) / k
+        h = np.add.reduceat(v[self.tok], self.start) / n
         p = 1 / (1 + np.exp(-np.clip(h @ w + b, -30, 30)))
-        d = (p - self.y) / len(self.y)
-        dh = (d @ w.T) / self.n[:, None]
-        dv = np.add.reduceat(dh[self.doc[self.by_word]], self.word_start) / self.k[:, None]
-        de = np.add.reduceat(dv[self.word[self.by_feat]], self.used_start)
+        d = (p - self.y) / e.dtype.type(len(self.y))
+        dh = (d @ w.T) / n
+        dv = np.add.reduceat(dh[self.doc_by_word], self.word_start) / k
+        de = np.add.reduceat(dv[self.word_by_feat], self.used_start)
         return de, h.T @ d, d.sum(0)
 
 
@@ -129,8 +135,15 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.words: list[str] = []
+        words: list[str] = []
+
+        class Ids(dict):
+            def __missing__(self, word: str) -> int:
+                k = self[word] = len(words)
+                words.append(word)
+                return k
+
+        self.ids, self.words = Ids(), words
         self.table = np.zeros((0, len(self.b)), np.float32)
         self.pairs: dict[int, int] = {}
 
@@ -138,15 +151,8 @@ class Scorer:
         """Of texts that have words."""
         if len(self.ids) > self.most or len(self.pairs) > 4 * self.most:
             self._forget()
-        ids, words = self.ids, self.words
-        tok = []
-        for text in texts:
-            for w in text:
-                k = ids.get(w)
-                if k is None:
-                    k = ids[w] = len(words)
-                    words.append(w)
-                tok.append(k)
+        words = self.words
+        tok = list(map(self.ids.__getitem__, chain.from_iterable(texts)))
         if len(words) > len(self.table):
             fresh = [self.ew[word_features(w)].mean(0) for w in words[len(self.table) :]]
             self.table = np.concatenate([self.table, np.array(fresh, np.float32)])
