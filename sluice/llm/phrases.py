@@ -1,4 +1,4 @@
-"""Labelled lines for the page and residue models: fixed values, hand-labelled, in four languages.
+"""Labelled lines for the page and residue models: fixed values, labelled by reading pages, in four languages.
 
 ``BOILER`` are lines that pages wrap around a document, ``TEASER_HEADS`` head lists of other items,
 ``OWN`` are lines of documents (records, and the notices or fillers that stand in their place).
