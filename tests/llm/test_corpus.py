@@ -153,6 +153,37 @@ def test_common_words():
         assert history.common_words(a, b) == t[-1][-1]
 
 
+def edited(r, words, subs, inserts, even=False):
+    """A copy with words replaced and inserted, at random or evenly spread."""
+    n = len(words)
+    at = [(2 * k + 1) * n // (2 * subs) for k in range(subs)] if even else r.sample(range(n), subs)
+    out = [f"new{r.randrange(10**6)}" if i in at else w for i, w in enumerate(words)]
+    for _ in range(inserts):
+        out.insert(r.randrange(len(out) + 1), f"more{r.randrange(10**6)}")
+    return out
+
+
+def near_pairs(spark, plans):
+    """Pairs found and pairs that are true, of texts and copies as ``(words, substitutions, insertions, even, copies)`` have it."""
+    r, texts = random.Random(11), []
+    for n, subs, inserts, even, copies in plans:
+        for _ in range(copies):
+            words = [f"w{r.randrange(5_000)}" for _ in range(n)]
+            texts += [words, edited(r, words, subs, inserts, even)]
+    pages = spark.createDataFrame([(i, html([" ".join(t) + "."])) for i, t in enumerate(texts)], "id bigint, raw_html string")
+    own = scratch(history.own_texts(pages, "id", "raw_html"))
+    of = {r.text_hash: (r.id, r.n_words) for r in own.select("text_hash", "id", "n_words").collect()}
+    assert sorted(of.values()) == [(i, len(t)) for i, t in enumerate(texts)]
+    found = {tuple(sorted((of[p.a][0], of[p.b][0]))) for p in history.similar_texts(own).collect()}
+    true = {(i, i + 1) for i in range(0, len(texts), 2) if history.common_words(texts[i], texts[i + 1]) >= 0.9 * max(len(texts[i]), len(texts[i + 1]))}
+    return found, true
+
+
+def test_near_texts_around_100_words(spark):
+    found, true = near_pairs(spark, [(n, 2, 3, False, 30) for n in (92, 95, 98, 99, 100, 103)])
+    assert len(true) == 180 and found == true
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 102)], "a bigint, b bigint")
     got = {r.id: r.root for r in history.components(links).collect()}
