@@ -184,6 +184,12 @@ def test_near_texts_around_100_words(spark):
     assert len(true) == 180 and found == true
 
 
+@pytest.mark.parametrize("plan", [(30, 2, 0, True, 60), (30, 3, 0, False, 60), (40, 4, 0, False, 60), (60, 6, 0, False, 60), (200, 15, 0, True, 60)])
+def test_near_texts_with_spread_edits(spark, plan):
+    found, true = near_pairs(spark, [plan])
+    assert len(true) == 60 and found == true
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 102)], "a bigint, b bigint")
     got = {r.id: r.root for r in history.components(links).collect()}
