@@ -19,6 +19,8 @@ from sluice.operators.scale import scratch
 BUCKETS = 1024
 #: Most targets and most patterns (sets of target sources that occur) the driver solves for.
 MAX_TARGETS, MAX_PATTERNS = 60, 20_000
+#: Part of the tokens held by the target sources that a mixture aims at, even if sources then fall short.
+LEAST_PART = 0.5
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -81,8 +83,9 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text_
     max_repeats`` with a share above 0 and at least one use (other rows are ignored, of repeated
     sources the first counts). Copies of one text in one source are one document, the one of the
     smallest key. Texts without tokens or outside the target sources take no part. ``total`` is the size
-    aimed at, by default the largest at which every source can reach its share within its repeats;
-    where a ``total`` asks more of a source than it has, the source falls short.
+    aimed at, by default the largest at which every source that has any text can reach its share within its repeats, or
+    ``LEAST_PART`` of the tokens of all texts if that is more, so that neither an empty nor a small source sizes the mixture;
+    where a total asks more of a source than it has, the source falls short.
     Result: ``key, source, n_tokens, uses`` and ``source, target_share, available_tokens, n_docs, mix_tokens, actual_share``.
     """
     spark = documents.sparkSession
@@ -109,13 +112,15 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text_
     aims = [(g.target_share / whole, g.max_repeats) for g in goals]
     sizes = [(m, n) for m, n, _ in patterns]
     if total is None:
-        # The largest mixture that keeps all shares: halve the range of totals until it is under a thousandth.
-        low, high = 0, sum(n for _, n in sizes) * max(r for _, r in aims)
+        # The largest mixture that keeps all shares that can be kept: halve the range of totals until it is under a thousandth.
+        held = sum(n for _, n in sizes)
+        filled = [s for j, (s, _) in enumerate(aims) if any(m >> j & 1 for m, _ in sizes)]
+        low, high = 0, int(held * max(r for _, r in aims) / sum(filled)) if filled else 0
         while sizes and high - low > max(1, high // 1000):
             mid = (low + high + 1) // 2
-            need = sum(int(round(s * mid)) for s, _ in aims)
+            need = sum(int(round(s * mid)) for s in filled)
             low, high = (mid, high) if sum(route(sizes, aims, mid).values()) >= need else (low, mid - 1)
-        total = low
+        total = max(low, int(LEAST_PART * held))
     flows = route(sizes, aims, total) if sizes and total else {}
     tokens_of = dict(sizes)
     # Each pattern's uses lie on a line that winds round its texts; sources take stretches of it in turn.

@@ -254,6 +254,15 @@ def test_mixture_odd_rows(spark):
     assert shares["none"].mix_tokens == 0 and shares["a"].mix_tokens > 0
 
 
+def test_mixture_with_empty_and_tiny_sources(spark):
+    docs = [(i, i, "a", 100) for i in range(300)]
+    got, shares = mix(spark, docs, [("a", 0.5, 2), ("none", 0.5, 2)])
+    assert shares["none"].mix_tokens == 0 and 59_000 < shares["a"].mix_tokens <= 60_000
+    got, shares = mix(spark, [*docs, (900, 900, "tiny", 10)], [("a", 0.5, 1), ("tiny", 0.3, 2), ("none", 0.2, 2)])
+    assert shares["tiny"].mix_tokens == 20 and shares["none"].mix_tokens == 0 and 7_000 < shares["a"].mix_tokens < 8_000
+    assert {r.uses for r in got if r.source == "tiny"} == {2} and shares["a"].actual_share > 0.99
+
+
 def test_flow_costs():
     # Two patterns, one source: the second use of either comes after the first of both.
     flow = mixture.route([(1, 10), (3, 10)], [(0.5, 3), (0.5, 1)], 40)
