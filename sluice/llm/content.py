@@ -1,22 +1,19 @@
 """Main content of web pages: flat text blocks judged by a decision tree.
 
 A page is a flat run of blocks (``sluice.functions.markup``). Each block is described by its word
-count and link density, those of its neighbours, the list or box it stands in, and how much its
-wording resembles page furniture; a small decision tree, trained on the labelled table in
+count and link density, those of its neighbours, and the run, group and box it stands in; no
+feature reads its wording. A decision tree, trained on the small labelled table in
 ``labelled``, decides whether the block belongs to the page's own document.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 
 from sluice.functions.markup import Page
-from sluice.llm import phrases
 
 _WORD = re.compile(r"[^\W\d_]+|0|©|\x00")
 _DIGITS = re.compile(r"\d+")
@@ -27,11 +24,12 @@ PLACEHOLDER = re.compile(
 )
 _MAYBE = re.compile(r"[{<\[_«#%@(]|XXXX")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Cells and list items are no titles of a group, however short.
 _NO_TITLE = frozenset(("li", "td"))
-FEATURES = (
-    "words link prev_words prev_link next_words next_link group_size group_link head_teaser "
-    "boiler prev_boiler next_boiler box_words box_link box_teaser heading"
-).split()
+_STOPS = frozenset(".!?:;。…")
+#: ``run`` is the unbroken run, in one box, of blocks without links that end like sentences; ``group`` is what follows a heading or title
+#: within one box; ``since`` counts from the first h1 of the page, ``since_loose`` the blocks from there that are neither links nor headings nor end like sentences.
+FEATURES = "words link prev_words prev_link next_words next_link run_words group_link group_at box_words box_link box_h1 since since_loose to_end prev_heading next_heading cell".split()
 
 
 def tokens(line: str) -> list[str]:
@@ -41,80 +39,66 @@ def tokens(line: str) -> list[str]:
     return _WORD.findall(_DIGITS.sub("0", line.lower()))
 
 
-def _log_odds(pos: list[str], neg: list[str], prior: float = 0.3) -> dict[str, float]:
-    """Smoothed naive Bayes weights of the tokens of two sets of lines, short lines counting as much as long ones."""
-    p, n = Counter(), Counter()
-    for into, lines in ((p, pos), (n, neg)):
-        for line in lines:
-            into.update(set(tokens(line)))
-    a, b = len(pos), len(neg)
-    return {t: math.log((p[t] + prior) / (a + 2 * prior)) - math.log((n[t] + prior) / (b + 2 * prior)) for t in {*p, *n}}
-
-
-@lru_cache(1)
-def weights() -> tuple[dict[str, float], dict[str, float]]:
-    """Token weights: furniture against the rest, heads of teaser lists against the rest."""
-    return (
-        _log_odds(phrases.BOILER, phrases.OWN + phrases.TEASER_HEADS),
-        _log_odds(phrases.TEASER_HEADS, phrases.OWN + phrases.BOILER),
-    )
-
-
-def score(words: list[str], table: dict[str, float]) -> float:
-    """Mean weight of the known words, drawn to 0 where few are known."""
-    get = table.get
-    known = [w for t in words if (w := get(t)) is not None]
-    return sum(known) / (len(known) + 2) if known else 0.0
-
-
-def features(page: Page, tokenized: list[list[str]] | None = None) -> list[tuple[float, ...]]:
-    """A row of ``FEATURES`` for each block of a page; ``tokenized`` are the blocks' ``tokens``."""
-    boiler_of, head_of = weights()
+def features(page: Page) -> list[tuple[float, ...]]:
+    """A row of ``FEATURES`` for each block of a page."""
     bl, boxes = page.blocks, page.boxes
     n = len(bl)
     if not n:
         return []
-    if tokenized is None:
-        tokenized = [tokens(b.text) for b in bl]
     words = [b.text.count(" ") + 1 for b in bl]
     link = [b.link_chars / len(b.text) if b.link_chars else 0.0 for b in bl]
-    boiler = [score(t, boiler_of) for t in tokenized]
-    # A group is what follows a heading, or a title of its own, within one box.
-    head = [b.tag in HEADINGS or (w <= 6 and x < 0.5 and not b.p_no and b.tag not in _NO_TITLE and b.text[-1] not in ".!?:;") for b, w, x in zip(bl, words, link)]
-    group, heads, size, linked = [], [0.0], [0], [0]
-    box_words, box_linked, box_teaser = [0] * len(boxes), [0.0] * len(boxes), [0.0] * len(boxes)
-    before, after_head = bl[0].box, True
-    for b, w, x, h, t in zip(bl, words, link, head, tokenized):
+    end = [b.text[-1] in _STOPS for b in bl]
+    head = [float(b.tag in HEADINGS or (w <= 6 and x < 0.5 and not b.p_no and b.tag not in _NO_TITLE and not e)) for b, w, x, e in zip(bl, words, link, end)]
+    run, run_words, group, size, linked, group_at = [], [], [], [0], [0], []
+    box_words, box_linked, box_h1 = [0] * len(boxes), [0.0] * len(boxes), [0.0] * len(boxes)
+    since, since_loose = [], []
+    before, after_head, open_run, s, loose = bl[0].box, True, None, 0, 0
+    for b, w, x, h, e in zip(bl, words, link, head, end):
         box = b.box
+        if e and x < 0.5 and not h:
+            if open_run != box:
+                run_words.append(0)
+                open_run = box
+            run_words[-1] += w
+            run.append(len(run_words) - 1)
+        else:
+            open_run = None
+            run.append(-1)
         if h:
-            heads.append(teaser := score(t, head_of))
             size.append(0)
             linked.append(0)
-            if teaser > box_teaser[box]:
-                box_teaser[box] = teaser
         else:
             if box != before and not (after_head and boxes[before][0] == box):
-                heads.append(0.0)
                 size.append(0)
                 linked.append(0)
             size[-1] += 1
             linked[-1] += x > 0.5
-        group.append(len(heads) - 1)
+        group.append(len(size) - 1)
+        group_at.append(size[-1])
         box_words[box] += w
         box_linked[box] += w * x
         before, after_head = box, h
-    share = [k / s if s else 0.0 for k, s in zip(linked, size)]
-    box_share = [k / s if s else 0.0 for k, s in zip(box_linked, box_words)]
+        if b.tag == "h1":
+            box_h1[box] = 1.0
+            if not s:
+                s, loose = 1, 0
+        since.append(s)
+        since_loose.append(loose)
+        if s:
+            s += 1
+            loose += not e and not h and x <= 0.5
+    run_words.append(0)
+    share = [k / m if m else 0.0 for k, m in zip(linked, size)]
+    box_share = [k / m if m else 0.0 for k, m in zip(box_linked, box_words)]
     at = [b.box for b in bl]
     return list(zip(
-        words, link, [0, *words[:-1]], [0.0, *link[:-1]], [*words[1:], 0], [*link[1:], 0.0],
-        [size[g] for g in group], [share[g] for g in group], [heads[g] for g in group],
-        boiler, [0.0, *boiler[:-1]], [*boiler[1:], 0.0],
-        [box_words[k] for k in at], [box_share[k] for k in at], [box_teaser[k] for k in at], map(float, head),
+        words, link, [0, *words[:-1]], [0.0, *link[:-1]], [*words[1:], 0], [*link[1:], 0.0], [run_words[k] for k in run], [share[g] for g in group], group_at,
+        [box_words[k] for k in at], [box_share[k] for k in at], [box_h1[k] for k in at], since, since_loose, range(n - 1, -1, -1),
+        [0.0, *head[:-1]], [*head[1:], 0.0], [float(b.tag in _NO_TITLE) for b in bl],
     ))
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 1):
     """A CART tree by Gini impurity: nested ``(feature, threshold, below, above)``, leaves are shares of positives."""
     share = float(y.mean())
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
@@ -154,7 +138,7 @@ def tree():
     return fit_tree(rows[:, :-1], rows[:, -1])
 
 
-def own_blocks(page: Page, tokenized: list[list[str]] | None = None) -> list[bool]:
+def own_blocks(page: Page) -> list[bool]:
     """Which blocks belong to the page's own document."""
     t = tree()
-    return [judge(t, row) > 0.5 for row in features(page, tokenized)]
+    return [judge(t, row) > 0.5 for row in features(page)]

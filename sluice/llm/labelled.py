@@ -1,201 +1,163 @@
-"""The labelled table of the content model: fixed values, a row for each of 192 blocks of pages.
+"""The labelled table of the content model: fixed values, a row for each of 152 blocks of pages.
 
-Labels were given by reading pages with the help of phrase patterns; no independent reader checked them.
+Pages of the 60 test sources were labelled first by a model that read wording, of which 36 pages were then read and put right by hand;
+no independent reader checked them. Of the blocks of 2,000 such pages these few were chosen, by exchanging rows
+while the tree they give agreed better with the labels of all. No row holds any wording.
 
 Columns as in ``content.FEATURES``, then 1 for a block of the page's own document, else 0.
 """
 
 ROWS = """
-12 0.73 0 0 15 0 1 1 0 -0.04 0 1.34 12 0.73 0 0 0
-9 0 42 0 7 0 4 0 0.64 0.7 -0.61 0.9 277 0 0.64 0 0
-7 0 4 0 15 0 211 0 -1.62 0.55 -0.29 -0.24 4907 0 0 0 0
-8 0 62 0 2 0 6 0 -1.34 1.12 -0.49 -0.5 186 0 0 0 0
-11 0 54 0 12 0 3 0 0 0.91 -0.52 1.13 164 0 0.64 0 0
-14 1 13 1 10 0 4 0.75 1.74 -0.65 -0.68 -0.31 127 0.31 1.74 0 0
-9 1 18 1 11 0 4 1 1.74 0.81 -0.9 -0.94 46 0.96 1.74 0 0
-9 0 17 0 0 0 3 0 0 0.81 1 0 36 0 0 0 0
-3 0 0 0 1 1 1 0 0 0.74 0 0 3 0 0 0 0
-2 1 2 1 1 1 7 1 0 0.74 -0.38 0 11 1 0 0 0
-12 0 11 0 0 0 2 0 0 1.14 1.21 0 23 0 0 0 0
-9 0 19 0 7 0 7 0 0.64 0.7 -1.15 0.9 321 0 0.64 0 0
-2 0 44 0 18 1 5 0.8 1.23 -0.5 -0.54 -1.02 2 0 1.23 1 0
-8 0 6 0 7 0 1 0 0 1.3 1.12 0.82 8 0 0 0 0
-8 0 11 0 0 0 1 0 0 1.16 0.9 0 8 0 0 0 0
-7 0 30 0 2 0 1 0 0 1.01 -0.97 -0.72 7 0 0 0 0
-11 0 10 0 6 0 1 0 0 0.95 0.69 0.87 11 0 0 0 0
-17 1 2 0 12 1 3 1 1.74 -0.73 -0.72 -0.77 37 0.95 1.74 0 0
-11 1 9 1 13 1 4 1 1.23 0.03 0.26 -0.57 45 1 0 0 0
-7 0 9 0 51 0 1 0 0 0.85 -1 -0.67 7 0 0 0 0
-9 0 18 0 19 0.75 7 0 -1.21 0.42 -0.73 0.69 304 0.18 0 0 0
-9 0 1 0 7 0 1 0 0 0.7 0.03 0.9 194 0 0 0 0
-20 1 15 1 15 1 5 0.8 1.74 0.1 -0.24 -0.24 74 0.85 1.74 0 0
-13 0 9 0 19 0.75 4 0 0.19 1.2 0.42 0.69 188 0.12 0.92 0 0
-13 0 10 0 0 0 3 0 0 1.32 1.21 0 31 0 0 0 0
-18 1 14 1 21 0 6 0.5 1.74 -0.91 -0.23 -0.41 90 0.56 0 0 0
-7 0 24 0 7 0 6 0 0 1.14 -0.03 0.87 245 0 0 0 0
-12 0 76 0 8 0 8 0 0.41 1.15 -0.5 0.68 469 0.09 1.66 0 0
-8 0 11 0 1 1 3 0 0 0.96 0.88 0.5 223 0.08 1.38 0 0
-10 0 2 1 5 0 1 0 0 1.21 0.5 -0.64 10 0 0 0 0
-19 1 2 0 19 0 2 0.5 1.23 -0.41 -0.5 -0.34 40 0.48 1.23 0 0
-9 0 17 1 10 0 6 0.67 1.74 0.82 -0.83 0.86 99 0.79 1.74 0 0
-7 0 44 0 2 0 9 0 -0.91 0.7 -0.54 -0.72 280 0 0 0 0
-9 1 14 1 6 0 6 0.33 1.74 -0.51 -0.5 0.73 59 0.39 1.74 0 0
-3 1 1 1 1 1 5 1 0 0.01 0 0 8 1 0 0 0
-7 0 13 0 27 0 1 0 0 0.85 -0.62 -0.7 7 0 0 0 0
-22 0 24 1 9 0 3 0.33 1.23 -0.56 -0.46 1.01 55 0.44 0 0 0
-2 0 12 0 13 1 3 0.67 1.74 -0.72 0.99 -0.94 2 0 1.74 1 0
-9 0 7974 0 9 0 2 0 -1.34 0.6 -0.53 1.15 7989 0 0 0 0
-6 0 7 0 29 0 5 0 -0.92 0.58 -1.04 -0.96 6 0 0 1 0
-5 0 11 0 3 0 4 0 0 0.22 1.39 0.89 31 0 0 0 0
-7 0 6 0 7 0 2 0 0 0.71 -0.35 0.73 182 0 0 0 0
-8 0 13 1 13 0 2 0 0 0.86 -1.26 1.2 21 0 0 0 0
-14 0.78 3 0 5 0 1 1 0 0.61 0.96 -0.7 14 0.78 0 0 0
-4 0 11 0 8 0 4 0 0 0.99 1.16 1.24 28 0 0 0 0
-9 0 28 0 7 0 2 0 0 0.42 0.06 1.28 250 0 0 0 0
-7 0 16 0 2 0 5 0 0 1.09 -0.87 -0.5 206 0 0 0 0
-9 0 13 0 55 0 1 0 0 0.45 -0.55 -0.77 9 0 0 0 0
-1 1 1 1 1 1 6 1 0 0 0.5 0 6 1 0 0 0
-18 0 20 0.72 3 0 1 0 0 1.17 0.39 -1.03 305 0.13 1.66 0 0
-8 0 18 0 13 0 5 0.4 1.23 1.12 -0.66 1.16 72 0.39 0 0 0
-2 0 30 0 14 0 4 0 0.43 -0.5 -0.45 -0.3 2 0 0.43 1 0
-20 0.72 7 0 3 0 1 1 0 0.39 -0 -1.03 20 0.72 0 0 0
-1 1 2 1 1 1 7 1 0 0.5 0.13 0 11 1 0 0 0
-6 0 13 1 9 0 4 0.5 1.74 1.04 -1.05 1.15 50 0.52 1.74 0 0
-7 0 35 0 2 0 9 0 -1.32 1.09 -0.6 -0.5 391 0 0 0 0
-12 0 2 0 17 0 5 0 1.74 -0.07 -0.72 -0.49 54 0 1.74 0 0
-1 1 1 1 1 1 8 1 0 0 0 0 11 1 0 0 0
-19 0 11 0 17 0 2 0 1.74 -0.57 -0.24 -0.56 32 0 1.74 0 0
-9 1 13 1 8 0 5 0.6 1.74 0.81 -1.05 1.02 59 0.56 1.74 0 0
-3 0 0 0 1 1 1 0 0 1.24 0 0 3 0 0 0 0
-7 0 14 0 13 0 2 0 0 0.59 0.02 1.41 20 0 0 0 0
-10 0 14 0 2 0 10 0 -1.22 0.59 -0.63 -0.72 277 0 0 0 0
-7 0 9 0 11 0 2 0 0 1.28 0.42 0.95 18 0 0 0 0
-12 0 9 0 8 0 4 0.5 1.74 -0.33 -0.51 1.05 251 0.07 1.74 0 0
-29 1 3 0 22 1 3 1 1.66 -0.64 -1.03 0.42 62 1 0 0 0
-7 0 2 0 2 0 1 0 -1.21 0.31 -0.27 -0.46 69 0 0.19 0 0
-14 0 7 0 8 0 3 0 0 1.36 0.9 1.13 29 0 0 0 0
-7 0 73 0 2 0 4 0 -0.01 1.09 -0.48 -0.5 194 0 0.19 0 0
-7 0 9 0 12 0.8 12 0 -0.91 1.1 0.73 -0.08 297 0.06 1.74 0 0
-12 0 11 0 0 0 2 0 0 1.14 1.21 0 23 0 0 0 0
-11 0 11 0 8 0 12 0 -0.84 0.88 -0.24 0.96 457 0.07 1.38 0 0
-14 1 16 1 17 1 4 0.75 1.74 -0.3 0.01 -0.36 75 0.63 1.74 0 0
-7 0 6 0 0 0 1 0 0 0.32 1 0 7 0 0 0 0
-9 0 21 1 8 0 4 0.5 1.23 1.01 -0.93 0.96 64 0.59 1.23 0 0
-2 1 1 1 1 1 7 1 0 0.74 -0.67 0 8 1 0 0 0
-1 1 1 1 1 1 7 1 0 0 0.5 0 11 1 0 0 0
-9 0 10 0 54 0 1 0 -1.09 0.76 0.02 -0.4 19 0 0 0 0
-10 0 1 1 2 0 1 0 0 0.9 -0.18 -0.27 10 0 0 0 0
-7 0 10 0 62 0 2 0 -1.44 0.55 -0.54 -0.55 286 0 0.28 0 0
-9 0 10 0 7 0 1 0 0 0.7 -0.54 0.9 13 0 0 0 0
-7 0 14 0 0 0 1 0 0 0.9 1.03 0 7 0 0 0 0
-16 1 15 1 16 0 5 0.6 1.74 -0.34 -0.03 -0.48 72 0.65 0 0 0
-13 0 12 0 7 0 2 0 0 1.22 1.5 0.81 25 0 0 0 0
-9 0 34 0 8 0 11 0 -1.21 0.7 -0.43 0.96 375 0.03 1.38 0 0
-14 0 7 0 6 0 5 0 -1.44 1.18 0.55 0.87 185 0.23 1.66 0 0
-9 0 18 0 7 0 7 0 -0.54 0.7 -0.56 0.9 226 0 0 0 0
-3 0 9 0 0 0 0 0 -0.22 0.73 0.91 0 3 0 0 1 0
-18 0.74 3 0 10 0 1 1 0 0.4 0.73 1.04 18 0.74 0 0 0
-9 0 13 1 10 0 6 0.67 1.74 0.82 -1.26 0.86 83 0.75 1.74 0 0
-1 1 0 0 1 1 7 1 0 0 0 -0.67 8 1 0 0 0
-7 0 5 0 48 0 1 0 -0.92 0.31 -0.36 -0.41 19 0 0 0 0
-1 1 0 0 1 1 6 1 0 0.5 0 0 7 1 0 0 0
-13 0 2 1 5 0 1 0 0 0.99 0.13 -0.16 13 0 0 0 0
-9 0 1 0 16 0 1 0 0 0.42 0.03 1.17 140 0 0 0 0
-17 0 4 0 12 0 3 0 0.92 -0.37 0.06 0.44 348 0 0.92 0 0
-63 0 31 0 1 0 8 0 -0.7 -0.71 -0.68 -0.48 317 0 0.19 0 1
-9 0 36 0 2 0 10 0 -1.56 0.81 -0.84 -0.72 227 0 0 0 1
-12 0 64 0 9 0 9 0 -1.56 0.44 -0.33 0.6 352 0 0 0 1
-9 0 1 0 7 0 5 0 -1.71 0 -0.01 0.77 118 0.36 0 0 1
-27 0 28 0 38 0 5 0 0 -0.43 -0.65 -0.48 187 0 0.19 0 1
-20 0 38 0 1 0 5 0 0 -0.63 -0.48 -0.48 187 0 0.19 0 1
-13 0 33 0 26 0 5 0 -0.84 -1.02 -0.76 -0.78 113 0 0 0 1
-12 0 19 0 8 0 134 0 0 -0.58 -0.34 -0.34 2042 0 0 0 1
-9 0 10 0 1 0 2 0 -1.37 0.81 -0.58 -0.48 105 0.12 1.74 0 1
-35 0 9 0 2 0 2 0 -1.56 -0.41 0.7 -0.72 59 0 0 0 1
-54 0 10 0 32 0 5 0 -1.44 -0.5 -0.54 -0.48 292 0.09 0.92 0 1
-29 0 18 0 11 0 5 0 0.28 -0.15 0.13 -0.24 270 0 0.28 0 1
-14 0 7 0 2 0 8 0 0 -0.55 -0.84 -0.5 275 0 0 0 1
-22 0 6 0 10 0 8 0 -1.08 -0.49 0.86 0.01 136 0 0 0 1
-19 0 20 0 32 0 5 0 -0.84 -0.7 -0.07 -0.6 173 0 0 0 1
-10 0 1 0 9 0 8 0 0 0.41 0 0.31 247 0 0 0 1
-8 0 12 0 14 0 6 0 -0.91 -0.41 -0.77 -0.04 209 0.17 1.74 0 1
-35 0 28 0 43 0 10 0 -1.09 -0.51 -0.42 -0.43 339 0 0 0 1
-35 0 12 0 29 0 8 0 -1.65 -0.44 -0.74 -0.44 202 0 0 0 1
-60 0 7 0 2 0 1 0 0 -0.75 0.85 -0.5 66 0 0 0 1
-9 0 4 0 5 0 10 0 -1.34 0.81 -0.47 -0.65 217 0 0 0 1
-10 0 1 0 1 0 1 0 0 -0.61 0.03 0.03 10 0 0 0 1
-1 0 21 0 23 0 1 0 0 0.03 -0.35 -0.56 1 0 0 0 1
-15 0 1 0 1 0 1 0 0 0.31 0.03 0.03 15 0 0 0 1
-13 0 1 0 1 0 1 0 0 0.69 0.03 0.03 13 0 0 0 1
-38 0 40 0 1 0 2 0 -0.52 -0.73 -0.52 0 469 0.09 1.66 0 1
-1 0 38 0 60 0 1 0 0 0 -0.73 -0.6 469 0.09 1.66 1 1
-38 0 14 0 21 0 12 0 -0.58 -0.35 -0.6 -0.28 320 0 0 0 1
-11 0 6 0 20 0 4 0 -1.1 -0.24 -0.72 -0.17 66 0 0.19 0 1
-18 0 13 0 11 0 5 0 0.19 0.98 -1.05 1.16 227 0 0.19 0 1
-18 0 14 0 14 0 9 0 0 0.51 -0.62 -0.42 296 0 0.19 0 1
-7 0 2 0 19 0 5 0 -1.21 -0.96 -0.27 -0.7 168 0 0 0 1
-9 0 5 0 1 0 3 0 0.19 -0.6 -0.65 -0.48 92 0 0.19 0 1
-14 0 2 0 37 0 10 0 -1.21 0.43 -0.27 -0.9 215 0 0 0 1
-64 0 1 0 2 0 1 0 0.19 -0.82 -0.48 -0.5 291 0 0.19 0 1
-9 0 44 0 12 0 8 0 -0.91 0 -0.62 -0.65 291 0 0.19 0 1
-61 0 4 0 45 0 8 0 -1.62 -0.68 -0.29 -0.45 362 0 0 0 1
-51 0 4 0 45 0 5 0 -1.56 -0.2 -0.21 -0.4 253 0 0 0 1
-5 0 1 1 9 0 5 0 -1.03 -0.52 0 -0.8 180 0 0 1 1
-9 0 30 0 9 0 6 0 -1.21 -0.57 -0.41 0.7 159 0 0 0 1
-3 0 1 0 1 0 1 0 0 -0.27 0.03 0.03 3 0 0 0 1
-24 0 68 0 9 0 4 0 -0.81 -0.58 -0.54 -1 214 0 0 0 1
-9 0 48 0 1 0 2 0 0 0.81 -1.01 0 206 0 0 0 1
-16 0 8 0 46 0 11 0 -0.58 -0.55 -0.34 -0.14 349 0 0.19 0 1
-4 0 11 0 3 0 4 0 -1.21 0.35 -0.33 -0.57 99 0 0 0 1
-46 0 21 0 3 0 5 0 -0.86 -0.59 -0.28 -0.57 148 0 0 0 1
-6 0 4 0 2 0 1 0 0 0.49 0.75 -0.5 6 0 0 0 1
-27 0 31 0 4 0 5 0 -1.26 -0.88 -1.01 0 281 0.14 0 0 1
-26 0 16 0 33 0 5 0 0.19 -0.75 -0.66 -0.9 133 0 0.19 0 1
-39 0 14 0 44 0 14 0 -1.71 -0.86 -0.04 -0.15 281 0.1 1.74 0 1
-5 0 34 0 6 0 4 0 0 -0.42 -0.88 1.12 130 0 0 0 1
-9 0 33 0 9 0 11 0 -1.56 -0.7 -0.67 -0.51 233 0 0 0 1
-12 0 19 0 13 0 106 0 0 0.44 -0.58 0.44 1513 0 0 0 1
-1 0 7 0 9 0 1 0 0 0.03 -0.32 -0.57 1 0 0 0 1
-14 0 1 0 1 0 1 0 0 0.43 0.03 0.03 14 0 0 0 1
-9 0 1 0 1 0 1 0 0 0.81 0.03 0.03 9 0 0 0 1
-9 0 1 0 1 0 1 0 0 0.49 0.03 0.03 9 0 0 0 1
-28 0 55 0 14 0 9 0 -1.26 -0.57 -0.18 -0.57 299 0 0 0 1
-1 0 1 0 13 0 2 0 0.19 -0.48 0 -0.65 72 0 0.19 1 1
-3 0 1 0 1 0 1 0 0 0.32 0.03 0.03 3 0 0 0 1
-17 0 39 0 67 0 8 0 -1.34 0.17 -0.54 -0.38 286 0 0 0 1
-16 0 21 0 10 0 140 0 -1.22 -0.1 -0.39 0.08 2649 0 0 0 1
-9 0 10 0 22 0 140 0 -1.22 0.2 -0.18 0.21 2649 0 0 0 1
-25 0 28 0 62 0 4 0 0 -0.29 -0.6 -0.65 138 0 0 0 1
-26 0 18 0 2 0 2 0 0 -0.75 -0.86 -0.72 81 0 0 0 1
-7 0 35 0 33 0 7 0 0 -0.32 -0.38 -0.37 224 0 0 0 1
-42 0 53 0 2 0 3 0 0 -0.82 -0.74 -0.96 332 0.07 0.92 0 1
-9 0 12 0 18 0 6 0 -0.66 0.81 -0.47 -0.61 251 0.07 1.74 0 1
-10 0 26 0 6 0 4 0 0 -0.05 -0.59 1.12 120 0 0 0 1
-9 0 42 0 35 0 8 0 -0.43 0.81 -0.5 -0.83 210 0 0 0 1
-64 0 28 0 51 0 7 0 0 -0.74 -0.61 -0.49 352 0 0 0 1
-42 0 66 0 15 0 4 0 0.64 -0.42 -0.41 -0.03 266 0 0.64 0 1
-15 0 9 0 16 0 4 0 -1.42 -0.79 -0.98 -0.54 100 0 0.19 0 1
-14 0 28 0 3 0 3 0 0.28 -0.55 -0.48 -0.56 240 0 0.28 0 1
-9 0 22 0 42 0 5 0 -1.21 0.81 -0.87 -0.81 191 0 0 0 1
-30 0 2 0 38 0 6 0 0.64 0.01 -0.87 -0.61 274 0 0.64 0 1
-17 0 158 0 164 0 1 0 -1.07 -0.36 -0.36 -0.4 3006 0 0 1 1
-1 0 4 0 2 0 1 0 0 0.03 -0.27 -0.5 1 0 0 0 1
-24 0 46 0 11 0 13 0 -1.17 -0.56 -0.05 0.91 391 0 0 0 1
-12 0 6 0 55 0 3 0 -1.08 0.34 0.86 -0.52 90 0 0 0 1
-14 0 9 0 26 0 8 0 -0.01 0.3 0 -0 248 0 0 0 1
-11 0 30 0 84 0 11 0 0 -0.24 -0.38 -0.55 264 0 0 0 1
-35 0 18 1 28 0 7 0 0 -0.44 -0.63 -0.59 332 0 0 0 1
-16 0 14 0 18 0 7 0 -0.37 -0.34 -0.6 -0.65 212 0 0 0 1
-9 0 12 0 7 0 1 0 -0.89 -0.8 1.29 0.55 37 0 0 1 1
-60 0 8 0 28 0 9 0 -1.56 -0.4 -0.75 -0.59 319 0 0 0 1
-44 0 19 0 74 0 9 0 -1.01 -0.47 -0.34 -0.56 316 0 0 0 1
-25 0 2 0 45 0 6 0 0.28 -0.19 -0.72 -0.46 219 0 0.28 0 1
-9 0 3 0 46 0 9 0 -0.48 -1 1.09 -0.15 342 0.1 0 1 1
-54 0 9 0 51 0 4 0 0 -0.24 0.45 -0.94 145 0 0 0 1
-18 0 49 0 9 0 7 0 -0.54 -0.56 -0.75 0.7 226 0 0 0 1
-6 0 8 0 12 0 173 0 0 -0.53 0.2 0.3 2028 0 0 0 1
-62 0 13 0 71 0 5 0 -0.64 -0.51 -0.69 -0.35 254 0 0 0 1
-19 0 1 0 9 0 7 0 0.19 -0.11 -0.48 0 330 0 0.19 0 1
-6 0 2 1 7 0 0 0 -0.91 -0.46 0.13 0.85 185 0 0 1 1
-56 0 58 0 23 0 4 0 -1.15 -0.57 -0.76 -0.39 150 0 0 0 1
+1 0 2 0 2 0 0 0 1 1 0 0 10 3 13 0 0 1 1
+1 0 3 0 10 0 0 0 1 1 0 0 19 7 4 0 0 1 1
+1 0 10 0 21 0 0 0 1 1 0 0 317 315 670 0 0 1 1
+1 0 14 0 10 0 0 0 1 1 0 0 405 403 582 0 0 1 1
+1 0 19 0 1 0 0 0 0 293 0 1 4 1 18 0 1 0 1
+1 0 42 0 1 0 0 0 0 211 0 1 6 0 10 0 1 0 1
+1 1 0 0 1 1 0 1 1 8 1 0 0 0 21 0 0 1 0
+1 1 0 0 2 1 0 1 1 11 1 0 0 0 22 0 0 1 0
+1 1 1 1 1 1 0 1 4 10 1 0 0 0 14 0 0 1 0
+1 1 1 1 1 1 0 1 7 11 1 0 0 0 21 0 0 1 0
+1 1 1 1 2 1 0 1 5 7 1 0 0 0 19 0 0 1 0
+1 1 1 1 4 0 0 1 8 8 1 0 0 0 16 0 1 1 0
+1 1 1 1 8 0 0 1 8 8 1 0 0 0 29 0 1 1 0
+1 1 3 1 2 1 0 1 4 8 1 0 0 0 12 0 0 1 0
+2 0 2 0 6 0 0 0 1 16 0 1 2 0 2 1 0 0 1
+2 0 6 0 6 0 0 0 0 39 0 1 8 0 5 1 1 0 1
+2 0 13 0 7 0 0 0 0 233 0 1 15 2 4 0 0 0 0
+2 0 13 0 11 1 0 0.667 0 33 0.667 0 8 0 4 0 0 0 0
+2 0 14 0 13 0 0 0 0 32 0 0 5 0 7 0 0 0 0
+2 0 19 0 18 1 0 0.75 0 2 0 0 12 1 9 0 0 0 0
+2 1 1 1 2 1 0 1 4 11 1 0 0 0 17 0 0 1 0
+2 1 2 1 2 1 0 1 4 10 1 0 0 0 22 0 0 1 0
+3 0 0 0 2 1 0 0 0 3 0 0 0 0 27 0 0 0 0
+3 0 0 0 6 0 9 0 1 9 0 0 0 0 1 0 0 0 0
+3 0 1 0 1 0 0 0 1 3 0 0 15 2 20 0 0 1 1
+3 0 1 0 1 0 0 0 1 3 0 0 16 7 8 0 0 1 1
+3 0 5 0 4 0 0 0 5 28 0 1 6 2 6 0 1 0 0
+3 0 14 0 7 0 0 0 0 3 0 0 21 3 1 0 0 0 0
+4 0 0 0 7 0 0 0 1 11 0 0 0 0 1 0 0 0 1
+4 0 1 1 44 0 0 0 0 144 0 1 1 0 12 0 0 0 1
+4 0 2 1 7 0 0 0 0 252 0 1 1 0 21 0 0 0 1
+4 0 3 0 50 0 0 0 0 177 0.147 1 1 0 16 1 0 0 1
+5 0 5 0 3 0 5 0 1 10 0 1 2 0 9 1 1 0 0
+5 0 5 0 23 0 28 0 1 91 0.363 1 2 0 11 1 0 0 1
+5 0 11 0 0 0 0 0 0 5 0 0 0 0 0 0 0 0 0
+6 0 1 1 5 0 0 0 1 6 0 0 0 0 10 0 1 0 0
+6 0 3 0 0 0 9 0 2 9 0 0 0 0 0 0 0 0 1
+6 0 3 0 0 0 39 0 6 50 0 1 7 0 0 0 0 0 0
+6 0 13 0 31 0 174 0 7 224 0.04 1 8 0 13 0 0 0 1
+6 0 16 0 2 0 0 0 1 64 0 1 2 0 11 1 1 0 0
+6 0 20 0 13 0 66 0 4 288 0 1 5 1 13 0 0 0 1
+7 0 2 0 26 0 148 0 1 203 0 1 5 1 9 1 0 0 1
+7 0 4 0 17 0 0 0 1 186 0 1 2 0 15 1 0 0 0
+7 0 5 0 0 0 12 0 2 12 0 0 0 0 0 0 0 0 0
+7 0 6 0 13 0.766 0 0 4 91 0.363 1 5 1 8 0 0 0 0
+7 0 7 0 6 0 35 0 3 59 0 1 4 1 11 0 0 0 0
+7 0 7 0 12 0.8 0 0 6 262 0.053 1 7 0 8 0 0 0 0
+7 0 7 0 70 0 0 0 1 269 0 1 2 0 15 1 0 0 0
+7 0 8 1 7 0 0 0 1 229 0 1 13 0 5 0 0 0 0
+7 0 9 0 27 0 0 0 1 244 0 1 2 0 21 1 0 0 0
+7 0 9 0 48 0 0 0 1 7 0 0 2 0 12 1 0 0 0
+7 0 10 0 2 0 7 0 1 68 0 1 2 0 10 1 1 0 1
+7 0 13 0 0 0 7 0 1 7 0 0 0 0 0 0 0 0 0
+7 0 16 0 7 0 0 0 1 26 0 0 10 0 3 0 0 0 0
+7 0 17 0 2 0 0 0 1 24 0 1 13 1 5 0 1 0 0
+7 0 24 0 2 0 0 0 2 312 0 1 14 1 7 0 1 0 0
+7 1 2 0 11 1 0 1 1 18 1 0 15 1 5 1 0 1 0
+8 0 3 0 0 0 0 0 1 8 0 0 20 3 0 1 0 0 0
+8 0 7 0 8 0 0 0 7 231 0 1 17 2 1 0 0 0 0
+8 0 11 0 0 0 19 0 2 19 0 0 8 0 0 0 0 0 0
+8 0 12 1 4 0 0 0 1 131 0 1 12 1 5 0 1 0 0
+8 0 14 0 13 0 0 0 1 21 0 0 15 0 3 0 0 0 0
+8 0 18 0 11 0 0 0 1 32 0 0 12 0 2 0 0 0 0
+8 0 21 1 11 0 0 0 1 32 0 0 13 1 3 0 0 0 0
+9 0 2 0 0 0 9 0 2 11 0 0 0 0 0 0 0 0 1
+9 0 5 0 32 0 0 0 1 131 0 1 2 0 12 1 0 0 0
+9 0 8 1 13 0 0 0 1 243 0.177 1 10 0 16 0 0 0 0
+9 0 18 0.784 15 0 0 0 0 139 0 1 1 0 17 0 0 0 1
+9 0 18 1 18 0 27 0 1 60 0 1 6 1 4 0 0 0 1
+9 0 26 0 27 0 214 0 2 297 0.03 1 3 0 17 0 0 0 1
+9 0 150 0 128 0 0 0 0 6939 0 1 66 0 72 0 0 0 1
+10 0 1 0 4 0 10 0 1 215 0 1 11 0 7 1 1 0 1
+10 0 1 1 4 0 0 0 1 10 0 0 0 0 15 0 1 0 0
+10 0 1 1 9 0 0 0 1 10 0 0 0 0 16 0 1 0 0
+10 0 2 0 13 0 23 0 1 25 0 0 0 0 11 1 0 0 1
+10 0 7 0 2 0 51 0 6 51 0 0 0 0 2 0 0 0 1
+10 0 8 0 2 0 111 0 6 111 0 0 7 0 6 0 1 0 1
+10 0 9 0 12 0 22 0 1 22 0 0 16 2 2 0 0 0 0
+10 0 48 0 44 0 299 0 5 312 0 1 6 1 9 0 0 0 1
+11 0 2 0 6 0 11 0 1 124 0 1 11 0 3 1 0 0 1
+11 0 15 1 8 0 11 0 1 277 0.047 1 11 0 12 0 0 0 0
+11 0 16 1 13 0 24 0 1 24 0 0 13 1 2 0 0 0 0
+11 0 141 0 75 0 0 0 0 6939 0 1 124 0 14 0 0 0 1
+11 1 18 0 7 0 0 0.333 2 38 0.289 0 18 8 4 0 0 0 0
+12 0 1 0 6 0 12 0 1 205 0.029 1 11 0 9 1 0 0 1
+12 0 1 1 9 0 12 0 1 12 0 0 0 0 8 0 1 0 0
+12 0 2 0 18 0 65 0 1 67 0 0 0 0 17 1 0 0 0
+12 0 7 0 8 0 12 0 6 221 0.072 1 8 1 14 0 0 0 0
+12 0 8 0 0 0 57 0 4 67 0 1 5 0 0 0 0 0 1
+12 0 9 0 4 0 21 0 2 23 0 0 0 0 9 0 1 0 0
+12 0 9 1 9 1 12 0.6 2 46 0.587 0 13 0 7 0 0 1 0
+12 0 15 0 11 0 12 0 1 402 0.149 1 2 0 25 1 0 0 1
+13 0 4 0 17 1 13 0.75 1 71 0.761 0 0 0 15 1 0 0 0
+13 0 9 0 7 0 13 0 2 327 0.15 1 14 1 13 0 0 0 0
+13 0 10 0 39 0 125 0 1 135 0 1 2 0 10 1 0 0 1
+13 0 12 0.8 2 0 13 0 1 162 0.167 1 12 1 5 0 1 0 0
+13 0 21 0.765 10 0 13 0 1 13 0 0 0 0 11 0 1 0 0
+13 0 21 0.765 10 0 13 0 1 13 0 0 0 0 16 0 1 0 0
+14 0 2 0 17 0 57 0 1 59 0 0 9 1 5 1 0 0 0
+14 0 2 0 17 1 14 0.5 1 33 0.515 0 0 0 9 1 0 0 0
+14 0 2 0 19 0 33 0 1 35 0 0 11 1 2 1 0 0 0
+14 0 7 0 20 0.721 14 0 8 345 0.157 1 9 1 10 0 0 0 0
+14 0 8 0 7 0 14 0 3 29 0 0 13 3 1 0 0 0 0
+14 0 9 0 1 0 14 0 1 32 0 1 3 1 11 0 0 0 1
+14 0 12 0 4 0 18 0 1 30 0 1 2 0 9 1 0 0 1
+14 0 12 0 18 0 14 0 1 14 0 0 0 0 8 0 0 0 1
+14 1 13 1 12 1 0 0.8 2 70 0.857 0 20 8 7 0 0 0 0
+15 0 2 0 14 0 29 0 1 31 0 0 0 0 13 1 0 0 0
+15 0 10 0 29 0 0 0 1 259 0 1 2 0 16 1 0 0 1
+15 0 18 1 20 0 35 0.25 3 80 0.225 0 8 0 9 0 0 0 0
+15 0 42 0 4 0 57 0 2 173 0 1 9 1 4 0 1 0 1
+16 0 1 0 38 0 54 0 1 241 0 1 8 0 6 1 0 0 1
+16 0 1 1 2 0 16 0 1 92 0.141 1 983 972 4 0 1 0 0
+16 0 1 1 2 0 16 0 1 383 0.026 1 16 1 4 0 1 0 0
+17 0 9 0 9 0 17 0 1 38 0 0 5 1 3 0 0 0 0
+17 1 2 0 8 1 0 1 1 365 0.123 1 17 2 5 1 0 0 0
+17 1 14 0 19 1 0 0.5 2 59 0.61 0 7 2 3 0 0 1 0
+18 0 3 1 12 0 18 0 1 18 0 0 0 0 23 0 1 0 0
+18 0 14 0 12 0 60 0.25 4 79 0.241 0 11 1 1 0 0 0 0
+18 0 14 0 14 0 46 0 2 55 0 0 11 0 7 0 0 0 0
+18 0 14 0 15 0 47 0.25 2 258 0.062 1 19 1 3 0 0 0 0
+19 0 1 0 1 0 0 0 1 19 0 0 198 196 1085 0 0 1 1
+19 0 1 0 1 0 0 0 1 19 0 0 360 358 60 0 0 1 1
+19 0 1 0 1 0 0 0 1 19 0 0 398 396 885 0 0 1 1
+19 0 1 0 1 0 0 0 1 19 0 0 708 706 279 0 0 1 1
+19 0 2 0 16 0 45 0 1 47 0 0 6 2 3 1 0 0 0
+20 0 12 0 7 0 41 0 3 43 0 0 17 2 2 0 0 0 0
+20 0 23 0 2 0 20 0 1 220 0 1 10 1 8 0 1 0 1
+20 1 2 0 16 1 0 0.667 1 60 0.6 0 12 0 6 1 0 1 0
+21 0 3 0 14 1 21 0.333 1 55 0.255 0 10 1 4 1 0 0 0
+21 0 15 0 39 0 156 0 3 178 0 1 5 0 9 0 0 0 1
+22 0 12 0 1 0 34 0 2 141 0 1 4 0 15 0 1 0 1
+22 0 12 0 48 0 178 0 3 296 0 1 4 0 18 0 0 0 1
+22 1 11 0 7 0 0 0.5 2 33 0.667 0 15 1 5 0 0 0 0
+23 0 43 0 30 0 275 0 2 275 0 0 4 1 14 0 0 0 1
+24 0 51 0 28 0 301 0 6 305 0 1 7 0 14 0 0 0 1
+27 0 7 0 7 0 41 0 2 41 0 0 4 1 9 0 0 0 1
+28 0 68 0 9 0 151 0 3 213 0.066 1 4 0 16 0 0 0 1
+29 0 18 0 21 0 0 0 0 181 0 0 0 0 3 1 1 0 1
+29 0 25 0 23 0 136 0 5 149 0 1 6 0 6 0 0 0 1
+31 0 9 0 5 0 2327 0 59 2332 0 1 60 0 99 0 0 0 1
+32 0 9 0 2 0 73 0 4 123 0 1 5 1 9 0 1 0 1
+35 0 6 0 2 0 180 0 8 192 0 1 9 0 10 0 1 0 1
+36 0 2 0 2 0 36 0 1 38 0 1 2 0 10 1 1 0 1
+36 0 71 0 25 0 170 0 3 360 0 1 11 0 4 0 0 0 1
+40 0 35 0 4 0 75 0 2 160 0 1 6 0 8 0 1 0 1
+43 0 4 0 9 0 43 0 1 137 0.204 1 2 0 18 1 0 0 1
+46 0 7 0 62 0 226 0 2 239 0 1 3 1 22 0 0 0 1
+47 0 1 0 2 0 47 0 1 274 0 1 9 1 10 1 1 0 1
+48 0 18 0 1 0 137 0 4 259 0 1 5 0 10 0 1 0 1
+55 0 22 0 0 0 118 0 3 123 0 1 4 0 0 0 0 0 1
+1685 0 5 0 12 0 0 0 1 1690 0 1 2 0 144 1 0 0 1
 """

@@ -1,230 +1,30 @@
-"""Labelled lines for the page and residue models: fixed values, labelled by reading pages, in four languages.
-
-``BOILER`` are lines that pages wrap around a document, ``TEASER_HEADS`` head lists of other items,
-``OWN`` are lines of documents (records, and the notices or fillers that stand in their place).
-``RESIDUE`` are trusted error and placeholder phrases from which the residue model starts.
-"""
-
-BOILER = """
-Share this page using the short link
-Pass this on by mail, feed or message
-Pass this on on your favourite network
-Tell a neighbour with the buttons below
-Send this notice to a friend with the buttons below
-Seite teilen per Mail oder Nachricht
-Weitersagen im Netzwerk Ihrer Wahl
-Hinweis versenden mit den Knöpfen unten
-Partagez cette page sur votre réseau préféré
-Envoyez cet avis avec les boutons ci-dessous
-Prévenez un voisin par courriel ou message
-Comparta esta página en su red preferida
-Avise a un vecino por correo o mensaje
-Envíe este aviso con los botones de abajo
-Sign up for our bulletin - it is free
-Get the weekly digest every Friday morning
-Receive alerts by mail and hear first about new papers
-Never miss a notice straight from the records desk
-Rundbrief bestellen kostenlos und jederzeit kündbar
-Hinweise per Mail erhalten jeden Freitag
-Kein Aushang mehr verpassen direkt aus der Kanzlei
-Recevez la lettre gratuit et sans engagement
-Avis par courriel chaque vendredi
-Ne manquez rien depuis le greffe
-Reciba el boletín gratis y sin compromiso
-Avisos por correo cada viernes
-No se pierda nada desde la secretaría
-We use cookies so that forms keep working. By staying here you agree.
-Our pages set cookies to remember your settings. You can change this at any time.
-This site stores small files to count visits. Read our storage page for details.
-Small text files are kept on your device to measure how pages are read. Choose accept or refuse.
-Some browser storage is used to improve this service. No data leaves this office.
-Wir verwenden Cookies zur Zählung der Besuche. Näheres im Datenschutz.
-Diese Seite speichert kleine Dateien für Ihre Einstellungen. Sie können ablehnen.
-Unsere Seiten setzen Cookies damit Formulare funktionieren. Mit dem Weiterlesen stimmen Sie zu.
-Nous utilisons des cookies pour le bon usage des formulaires. Détails sous vie privée.
-Ce site garde de petits fichiers pour compter les visites. Vous pouvez refuser.
-Nos pages posent des cookies pour retenir vos choix. En continuant vous acceptez.
-Usamos cookies para que funcionen los formularios. Más datos en privacidad.
-Este sitio guarda pequeños ficheros para contar visitas. Si continúa, acepta.
-Nuestras páginas usan cookies para recordar sus ajustes. Puede rechazarlas.
-© 2024. All content on these pages may be reused only with consent.
-© 2021. The text shown here has no binding force and can be withdrawn at any time.
-© 2022. Every file offered here remains the property of the publisher.
-© 2019. Nothing on this site is given without warranty.
-© 2020. Alle Inhalte sind ohne Gewähr und bleiben Eigentum der Stelle.
-© 2023. Sämtliche Dateien dürfen nur mit Zustimmung genutzt werden.
-© 2024. Die gezeigten Texte können jederzeit zurückgezogen werden.
-© 2021. Tout le contenu est sans valeur officielle et peut être retiré à tout moment.
-© 2020. Les fichiers proposés restent la propriété de l'éditeur et ne peut être repris sans accord.
-© 2022. Todo el contenido carece de valor oficial y puede retirarse.
-© 2023. Los ficheros ofrecidos y los textos mostrados son propiedad del editor.
-Office hours first Tuesday of the month
-Phones staffed weekdays 9 to 16
-Counter open Monday to Thursday
-Visits by appointment 10-12 and 14-17
-Schalter offen werktags 9 bis 16
-Sprechzeiten Montag bis Donnerstag
-Besuch nach Absprache 10-12 und 14-17
-Telefon besetzt erster Dienstag im Monat
-Guichet ouvert 10-12 et 14-17
-Heures d'ouverture du lundi au jeudi
-Visites sur rendez-vous premier mardi du mois
-Horario de atención de lunes a jueves
-Ventanilla abierta 10-12 y 14-17
-Visitas con cita primer martes del mes
-Published by the web team 2023-10-15, read 1262 times
-Posted by the clerk's office on 2020-03-04
-Prepared in the records desk - last change 2021/08/24
-Entered by the notices unit (3452 views)
-Filed by the records desk on 2022.01.31
-Veröffentlicht von der Kanzlei am 2024-07-26
-Erfasst durch dem Webteam 2023.01.02, 311 Aufrufe
-Eingestellt von der Schriftstelle Stand 2022/05/06
-Publié par le greffe le 2021-06-28
-Saisi par l'équipe web 2019-09-13, 1895 lectures
-Mis en ligne par le bureau des actes état du 2020.02.03
-Publicado por la secretaría al 2023-08-26
-Registrado por el equipo web 2021/05/04, 77 lecturas
-Preparado en el registro el 2020-02-03
-City records
-County parks records
-District Aushang
-Schools affichage
-Water avisos
-Payments by cheque end this summer
-The counter stays closed during the harvest week
-Please use the side entrance while the lift is renewed
-Water meters will be read this month
-Der Schalter bleibt in der Erntewoche zu
-Die Zähler werden diesen Monat abgelesen
-Le guichet ferme la semaine des récoltes
-Les compteurs seront relevés ce mois
-Este mes se leen los contadores
-La ventanilla cierra en la semana de cosecha
-""".strip().splitlines()
-
-TEASER_HEADS = """
-Most viewed
-Related notices
-In other news
-Latest items
-Also on this site
-Read next
-Other news
-You may also like
-Passend dazu
-Weitere Meldungen
-Aus anderen Ämtern
-Neueste Einträge
-Meist gelesen
-Autres services
-À voir aussi
-Derniers ajouts
-Les plus lus
-Aussi sur ce site
-También en este sitio
-De otras áreas
-Lo más leído
-Últimas entradas
-""".strip().splitlines()
-
-OWN = """
-The clerk read 37 notices into the record.
-The chair declared no interest in any item.
-Public comment was limited to 2 minutes per speaker.
-The meeting was opened at 10:58 with 32 members present.
-Copies of paper A33-277 were handed out, and the chair agreed.
-The vote was 23 in favour and 32 against, though two members disagreed.
-A contract was awarded for $567,084, until the next count is in.
-Members asked why it had not been listed under item 7.
-Spending on the reserve fund rose by 14 percent during 2020.
-The next session is planned for April, subject to funds in 2025.
-Notice T51-691 invites offers until the 26th of April.
-The request was referred to the committee on the draft plan, at no cost to the city.
-The board heard a report and asked staff to return with costs by August.
-Delivery slipped by 8 weeks because of the river bank.
-The minutes of May were approved without change, for the remainder of the year.
-Staff explained that the roof needs work, which the clerk is to confirm by May.
-Es wurden 33 Mitteilungen verlesen, wie in B11-692 dargelegt.
-Die Abstimmung ergab 11 Stimmen dafür und 17 dagegen.
-Das Protokoll vom Oktober 2019 wurde genehmigt, vorbehaltlich der Mittel für 2020.
-Der Ausschuss beriet über das Thema und bat um Zahlen bis April, mit Wirkung ab August.
-Der Auftrag zum Thema ging für 39,877 Taler an die Firma, nach Rücksprache.
-Die Verwaltung erläuterte den Stand in der Stadt.
-Die Sitzung wurde um 10:15 mit 12 Mitgliedern eröffnet und endete um 15:55.
-Zu dem Antrag lagen 4 Eingaben vor, zu Solardach keine.
-Le vote donne 33 voix pour et 6 contre, malgré deux voix contre.
-Le procès-verbal de novembre 2017 est approuvé, à compter de mai 2020.
-Il a été donné lecture de 33 avis, sous réserve des fonds de 2025.
-La prochaine séance aura lieu en février 2023, comme indiqué dans X53-363.
-La commission a examiné le dossier et demande des chiffres avant mai.
-Le service a présenté l'état du dossier, après échange avec le groupe.
-La séance a été ouverte à 15:22 avec 28 membres et levée à 11:35.
-Les dépenses ont augmenté de 4 pour cent en 2020.
-La sesión se cerró a las 9:16, tras consultar con la junta.
-La comisión trató el asunto y pidió cifras antes de mayo.
-Se repartió el documento K75-907 y se aprobó el acta de marzo.
-La votación dio 23 a favor y 9 en contra, sujeto a los fondos de 2022.
-Hubo 13 cartas sobre el tema y ninguna sobre el catálogo.
-El contrato se adjudicó por 39,877 coronas, según consta en T20-975.
-El gasto subió un 4 por ciento en 2022.
-La próxima sesión será en octubre de 2020.
-Old matters
-Decisions taken
-Public comment
-Reports
-Next steps
-Items discussed
-Correspondence
-Awards
-Staff remarks
-Beschlüsse
-Hintergrund
-Anfragen
-Berichte
-Vergaben
-Affaires nouvelles
-Points traités
-Contexte
-Courrier
-Acuerdos
-Informes
-Próximos pasos
-Votos
-Files
-Enclosures
-Supporting files
-Anlagen
-Annexes
-Anexos
-You do not have permission to view this address.
-The page you asked for does not exist or has moved.
-Seite nicht gefunden
-Votre demande n'a pas abouti.
-No tiene permiso para ver este recurso.
-Replace this paragraph with a short summary of the meeting.
-Dieser Text ist nur ein Platzhalter.
-""".strip().splitlines()
+"""Trusted phrases from which the residue model starts: common error messages, script notices and filler, in four languages (fixed values)."""
 
+#: The filler text of printers, then messages of web servers and notices of scripts.
 RESIDUE = """
 lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt dolore magna aliqua
-asdf qwer zxcv hjkl foo bar blah blah
-test test test
-body text goes here
-sample sentence used to show the layout
-replace this paragraph
-edit this block
-default page content created by the installer
+your text here
+text goes here
+sample text
+example text
+placeholder text
+test test
+replace this
+edit this
+add your
+click to edit
+default page
+untitled page
 blindtext
-bitte diesen absatz ersetzen
-überschrift eingeben
-hier steht später der text
+platzhalter
+beispieltext
+hier text eingeben
 faux texte
-remplacez ce paragraphe
-saisissez un titre
-sustituya este párrafo
+texte de remplissage
+votre texte ici
 texto de relleno
-escriba un título
+texto de ejemplo
+su texto aquí
 page not found
 404 not found
 403 forbidden
@@ -234,14 +34,12 @@ internal server error
 bad gateway
 gateway time-out
 too many requests
-server error in application
 something went wrong
 request blocked
 database connection failed
 under maintenance
 seite nicht gefunden
 zugriff verweigert
-fehler beim laden
 page introuvable
 accès refusé
 erreur du serveur
@@ -251,14 +49,8 @@ acceso denegado
 error del servidor
 enable javascript
 javascript is required
-javascript is switched off
-enable scripting
-your browser does not run scripts
-active scripting must be allowed
 benötigt javascript
 bitte aktivieren sie javascript
 nécessite javascript
-les scripts sont désactivés
 necesita javascript
-active javascript
 """.strip().splitlines()

@@ -3,13 +3,14 @@
 Passages are the blocks of a page; those of its own part (``content``) count as its text, the rest only as evidence of residue. Passages with unfilled placeholders or
 with one of the trusted phrases make a record *trusted* when they are most of its text; from the
 trusted records the model spreads to passages that share their wording. A record is residue if
-residue passages are all of its document but for a rest of ``max_real`` of the words.
+residue passages are all of its document but for a rest of ``max_real`` of the words (half, as on pages almost empty the tree takes single teasers for text).
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.markup import Page, blocks
 from sluice.llm import content, phrases
+from sluice.llm.sums import tree_sum
 from sluice.operators.scale import scratch
 
 #: Width of the hashed vocabulary: the model is two arrays of this length at any size of corpus.
@@ -25,7 +27,9 @@ BUCKETS = 1 << 16
 TRUSTED, HEADING, OWN = 1, 2, 4
 _PRIME = 40_503
 
-_FILLER = frozenset(w for p in phrases.RESIDUE[:2] for w in p.split())
+_FILLER = frozenset(phrases.RESIDUE[0].split())
+#: Rows of letters on a keyboard, both ways: runs along them are what fingers type for filler.
+_ROWS = tuple(r[::way] for r in ("qwertyuiop", "asdfghjkl", "zxcvbnm") for way in (1, -1))
 #: Trusted phrases by their longest word, with its place in the phrase.
 _KEYED: dict[str, list[tuple[int, list[str]]]] = {}
 for _p in map(content.tokens, phrases.RESIDUE):
@@ -43,14 +47,22 @@ class Vocabulary(dict):
         return h
 
 
+@lru_cache(100_000)
+def is_run(word: str) -> bool:
+    """Whether the word runs along a row of the keyboard for four letters or more."""
+    return len(word) > 3 and any(word in row for row in _ROWS)
+
+
 def is_trusted(words: list[str]) -> bool:
-    """A passage that is certainly residue: a tenth of its words are unfilled fields or several filler words, or a trusted phrase is a good part of it."""
+    """A passage that is certainly residue: a tenth of its words are unfilled fields or several filler words, a quarter are runs of the keyboard, or a trusted phrase is a good part of it."""
     n = len(words)
     marks = words.count("\x00")
     if marks and 10 * marks >= n:
         return True
     if n > 2 and not _FILLER.isdisjoint(words) and 10 * sum(map(_FILLER.__contains__, words)) >= n and len(_FILLER.intersection(words)) > 1:
         return True
+    if n > 2 and 4 * sum(map(is_run, words)) >= n:
+        return True
     if not _KEYED.keys().isdisjoint(words):
         for k, w in enumerate(words):
             for j, p in _KEYED.get(w, ()):
@@ -62,18 +74,17 @@ def is_trusted(words: list[str]) -> bool:
 def page_passages(html: str, vocabulary: Vocabulary):
     """``passages_of`` a page."""
     page = blocks(html)
-    tokenized = [content.tokens(b.text) for b in page.blocks]
-    return passages_of(page, tokenized, content.own_blocks(page, tokenized), vocabulary)
+    return passages_of(page, content.own_blocks(page), vocabulary)
 
 
-def passages_of(page: Page, tokenized: list[list[str]], own: list[bool], vocabulary: Vocabulary):
+def passages_of(page: Page, own: list[bool], vocabulary: Vocabulary):
     """Of one page: lengths, flags and hashed words of its passages (but for link lists), and its own ``p`` elements."""
     n_words, flags, toks, own_p = [], [], [], []
     bucket = vocabulary.__getitem__
-    for b, words, mine in zip(page.blocks, tokenized, own):
+    for b, mine in zip(page.blocks, own):
         if mine and b.p_no and (not own_p or own_p[-1] != b.p_no):
             own_p.append(b.p_no)
-        if words and (mine or 2 * b.link_chars < len(b.text)):
+        if (mine or 2 * b.link_chars < len(b.text)) and (words := content.tokens(b.text)):
             toks.extend(map(bucket, words))
             n_words.append(len(words))
             flags.append(TRUSTED * is_trusted(words) | HEADING * (b.tag in content.HEADINGS and (b.tag == "h1" or len(words) < 10)) | OWN * mine)
@@ -142,13 +153,13 @@ def _trusted(batch: pa.RecordBatch, least: float) -> np.ndarray:
 
 
 def fit(table: DataFrame, rounds: int = 4, trusted_share: float = 0.15, smooth: float = 0.05) -> tuple[np.ndarray, float]:
-    """Token weights (log odds) and bias. Each round is one pass over all passages; only sums per bucket come to the driver."""
+    """Token weights (log odds) and bias. Each round is one pass over all passages; only sums of ``BUCKETS`` numbers come to the driver."""
     weight, bias, model = None, 0.0, None
     spark = table.sparkSession
     for _ in range(rounds):
         model = None if weight is None else spark.sparkContext.broadcast(weight)
 
-        def run(batches: Iterator[pa.RecordBatch], model=model, bias=bias) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], model=model, bias=bias) -> list[np.ndarray]:
             pos, rest, n = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(2)
             for batch in batches:
                 if not batch.num_rows:
@@ -159,17 +170,10 @@ def fit(table: DataFrame, rounds: int = 4, trusted_share: float = 0.15, smooth:
                 pos += np.bincount(grams, r[at], BUCKETS)
                 rest += np.bincount(grams, 1 - r[at], BUCKETS)
                 n += r.sum(), (1 - r).sum()
-            used = np.flatnonzero(pos + rest)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(pos[used], n[0])), pa.array(np.append(rest[used], n[1]))], ["bucket", "pos", "rest"]
-            )
+            return [pos, rest, n]
 
-        sums = table.select("n_words", "flags", "toks").mapInArrow(run, "bucket int, pos double, rest double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("rest").alias("rest"))
-        got = sums.toArrow()  # at most BUCKETS + 1 rows
-        b, p, q = (got.column(c).to_numpy() for c in ("bucket", "pos", "rest"))
-        pos, rest = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        pos[b[b >= 0]], rest[b[b >= 0]] = p[b >= 0], q[b >= 0]
-        n_pos, n_rest = (float(v[b < 0][0]) if (b < 0).any() else 0.0 for v in (p, q))
+        got = tree_sum(table.select("n_words", "flags", "toks"), run)
+        pos, rest, (n_pos, n_rest) = got or (np.zeros(BUCKETS), np.zeros(BUCKETS), (0.0, 0.0))
         if n_pos < 1:
             return np.zeros(BUCKETS), -40.0
         used = np.count_nonzero(pos + rest)
@@ -179,7 +183,7 @@ def fit(table: DataFrame, rounds: int = 4, trusted_share: float = 0.15, smooth:
     return weight, bias
 
 
-def decide(table: DataFrame, key: str, weight: np.ndarray, bias: float, max_real: float = 0.6) -> DataFrame:
+def decide(table: DataFrame, key: str, weight: np.ndarray, bias: float, max_real: float = 0.5) -> DataFrame:
     """``key, residue_words, real_words, n_passages, is_residue, own_p`` for each record."""
     model = table.sparkSession.sparkContext.broadcast(weight)
 
@@ -204,7 +208,7 @@ def decide(table: DataFrame, key: str, weight: np.ndarray, bias: float, max_real
     )
 
 
-def residue(pages: DataFrame, key: str = "fetch_id", html: str = "raw_html", rounds: int = 4, max_real: float = 0.6) -> DataFrame:
+def residue(pages: DataFrame, key: str = "fetch_id", html: str = "raw_html", rounds: int = 4, max_real: float = 0.5) -> DataFrame:
     """Judge every page with a non-empty ``html``.
 
     ``pages`` has one row for each ``key``. Null and empty pages give no row; a page without a
@@ -215,7 +219,7 @@ def residue(pages: DataFrame, key: str = "fetch_id", html: str = "raw_html", rou
     return judge(scratch(passages(pages, key, html)), key, rounds, max_real)
 
 
-def judge(table: DataFrame, key: str, rounds: int = 4, max_real: float = 0.6) -> DataFrame:
+def judge(table: DataFrame, key: str, rounds: int = 4, max_real: float = 0.5) -> DataFrame:
     """``residue`` of pages already cut into passages, in a table that can be read again and again."""
     weight, bias = fit(table, rounds)
     return decide(table, key, weight, bias, max_real)
