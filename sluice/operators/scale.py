@@ -13,28 +13,38 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of this process."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only where all tasks run in this process (``local`` masters, as in tests) an unset folder is replaced by one of
+    the process; a cluster without the setting is refused, as each machine would write to a disk of its own.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark.sparkContext, "_sluice_dir", None)
         if base is None:
             base = spark.sparkContext._sluice_dir = "file://" + tempfile.mkdtemp(prefix="sluice-")
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def scratch(df: DataFrame) -> DataFrame:
     """Write a DataFrame once as Parquet in the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but stays columnar; the files outlive lost executors and are
     deleted when the driver's JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
