@@ -3,8 +3,8 @@
 A sentence is the mean of its word and word-pair vectors, a word's vector the mean of its own and
 its character-gram vectors, all hashed into a table of fixed size. Every sentence of a labelled
 document is trained with the document's labels: sentences of procedure stand under all labels alike
-and stay below one half, those that deal with a subject rise above it. Partitions take steps by
-themselves and are averaged after every round. As the outputs are linear in the mean, a word has one
+and stay below one half, those that deal with a subject rise above it. Every step sums the gradients of all
+partitions and moves one model on the driver, so the result does not depend on how documents are spread. As the outputs are linear in the mean, a word has one
 vector of scores, and whole corpora are scored by sums of those.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -25,12 +26,10 @@ from sluice.operators.scale import scratch
 
 #: Rows of the embedding table, length of a vector.
 BUCKETS, DIM = 1 << 16, 16
-#: Most labelled documents that the model is fitted on (the first by a hash of their id).
-MAX_LABELLED = 3_000
 #: A word or pair of words counts in training if it stands in so many labelled documents.
 LEAST_DOCS = 3
-#: Partitions of the labelled documents; fixed, so that the model does not depend on the cluster.
-PARTS = 4
+#: Labelled documents of a training task, and most tasks (so many gradients reach the driver in a step).
+TASK_DOCUMENTS, MAX_TASKS = 400, 32
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _DROP = re.compile(r"[​-‏⁠­﻿]")
@@ -67,19 +66,19 @@ def grams(words: list[str]) -> list[str]:
 
 
 class Shard:
-    """The labelled documents of a partition as index arrays, and full-batch steps over them."""
+    """The labelled sentences of a partition as index arrays; ``row`` gives each bucket's place among those that training moves."""
 
-    def __init__(self, documents: list[list[str]], labels: np.ndarray):
+    def __init__(self, documents: list[list[str]], labels: np.ndarray, row: dict[int, int]):
         ids: dict[str, int] = {}
         tok = [ids.setdefault(w, len(ids)) for d in documents for w in d]
-        self.n, self.y = np.array([len(d) for d in documents]), labels.astype(np.float32)
+        self.rows, self.n, self.y = len(row), np.array([len(d) for d in documents]), labels.astype(np.float32)
         self.tok = np.array(tok, np.int64)
         self.doc = np.repeat(np.arange(len(documents)), self.n)
         self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]])
         self.doc_by_word = self.doc[np.argsort(self.tok, kind="stable")]
         counts = np.bincount(self.tok, minlength=len(ids))
         self.word_start = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        feats = [word_features(w) for w in ids]
+        feats = [[row[f] for f in word_features(w)] for w in ids]
         self.k = np.array([len(f) for f in feats])
         self.feat = np.array([x for f in feats for x in f], np.int64)
         self.feat_start = np.concatenate([[0], np.cumsum(self.k)[:-1]])
@@ -90,14 +89,15 @@ class Shard:
         self.used_start = np.concatenate([[0], np.cumsum(fc)[:-1]])
 
     def gradient(self, e: np.ndarray, w: np.ndarray, b: np.ndarray):
+        """Sums over the shard's sentences, not means, so that shards add up."""
         k, n = self.k.astype(e.dtype)[:, None], self.n.astype(e.dtype)[:, None]
         v = np.add.reduceat(e[self.feat], self.feat_start) / k
         h = np.add.reduceat(v[self.tok], self.start) / n
-        p = 1 / (1 + np.exp(-np.clip(h @ w + b, -30, 30)))
-        d = (p - self.y) / e.dtype.type(len(self.y))
+        d = 1 / (1 + np.exp(-np.clip(h @ w + b, -30, 30))) - self.y
         dh = (d @ w.T) / n
         dv = np.add.reduceat(dh[self.doc_by_word], self.word_start) / k
-        de = np.add.reduceat(dv[self.word_by_feat], self.used_start)
+        de = np.zeros((self.rows, e.shape[1]), e.dtype)
+        de[self.used] = np.add.reduceat(dv[self.word_by_feat], self.used_start)
         return de, h.T @ d, d.sum(0)
 
 
@@ -106,24 +106,19 @@ def start_model(n_subjects: int, seed: int = 11):
     return [r.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), r.normal(0, 1, (DIM, n_subjects)).astype(np.float32), np.full(n_subjects, -2.0, np.float32)]
 
 
-def local_steps(shard: Shard, model: list[np.ndarray], steps: int, rate: float) -> list[np.ndarray]:
-    """Adam steps from a model over one shard."""
-    e, w, b = (x.copy() for x in model)
-    m = [0.0, 0.0, 0.0]
-    s = [0.0, 0.0, 0.0]
-    for t in range(1, steps + 1):
-        de, dw, db = shard.gradient(e, w, b)
-        for i, g in enumerate((de, dw, db)):
-            m[i] = 0.9 * m[i] + 0.1 * g
-            s[i] = 0.99 * s[i] + 0.01 * g * g
-            step = rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.99**t)) + 1e-8)
-            if i == 0:
-                e[shard.used] -= step
-            elif i == 1:
-                w -= step
-            else:
-                b -= step
-    return [e, w, b]
+class Adam:
+    """Steps of a model from gradients."""
+
+    def __init__(self, model: list[np.ndarray], rate: float):
+        self.model, self.rate, self.t = model, rate, 0
+        self.m, self.s = ([np.zeros_like(x) for x in model] for _ in range(2))
+
+    def step(self, gradient: list[np.ndarray]) -> None:
+        self.t += 1
+        for x, g, m, s in zip(self.model, gradient, self.m, self.s):
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            x -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-8)
 
 
 class Scorer:
@@ -191,20 +186,24 @@ def deals(scorer: Scorer, texts: list[str | None], cut: float = 0.0) -> list[tup
     return out
 
 
-_SHARDS: dict[tuple[str, int], Shard] = {}
+#: Shards that a worker has built, by fit and partition; only those of the latest fit are kept.
+_SHARDS: dict[tuple[str, int], Shard | None] = {}
 
 
-def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, rounds: int = 5, steps: int = 16, rate: float = 0.03, keep: float = 0.85):
+def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, steps: int = 48, rate: float = 0.05, keep: float = 0.9, max_labelled: int = 3_000):
     """The model and the buckets of word pairs it has seen.
 
-    Only arrays of fixed size travel: every partition returns its model, the driver averages
-    them. ``keep`` shrinks the embeddings after each round.
+    Fitted on at most ``max_labelled`` labelled documents, the first by a hash of their id. Every step is a pass over them: each task
+    sums its gradient, of fixed size, and the driver steps once for all. ``keep`` shrinks the embeddings after every eighth step.
     """
     spark = documents.sparkSession
     known = labels.filter(F.col("subject").isin(subjects) & F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
-    first = known.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
+    first = known.orderBy(F.xxhash64(key), key).limit(max_labelled)
     mine = scratch(documents.select(key, F.col(text).alias("text")).filter(F.length("text") > 0).join(F.broadcast(first), key).select(key, "subjects", "text"))
-    mine = scratch(mine.repartition(PARTS, F.pmod(F.xxhash64(F.lit(3), key), F.lit(PARTS))))
+    tasks = min(MAX_TASKS, -(-mine.count() // TASK_DOCUMENTS))
+    if not tasks:
+        return None, None
+    mine = scratch(mine.repartition(tasks, F.pmod(F.xxhash64(F.lit(3), key), F.lit(tasks))))
     number = {s: j for j, s in enumerate(subjects)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,14 +216,18 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str,
 
     # Of the bounded sample only.
     often = mine.select("text").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    vocabulary = spark.sparkContext.broadcast(frozenset(r.gram for r in often.collect()))
-    if not vocabulary.value:
+    words = frozenset(r.gram for r in often.collect())
+    if not words:
         return None, None
-    run_id = str(id(vocabulary)) + str(spark.sparkContext.applicationId)
-    model = start_model(len(subjects))
+    used = np.unique([f for g in words for f in word_features(g)])
+    told = spark.sparkContext.broadcast((words, {int(f): k for k, f in enumerate(used)}))
+    run_id = uuid.uuid4().hex
+    whole = start_model(len(subjects))
+    # Only the rows of words that occur are trained, and travel.
+    adam = Adam([whole[0][used], whole[1], whole[2]], rate)
 
-    for _ in range(rounds):
-        now = spark.sparkContext.broadcast(model)
+    for t in range(1, steps + 1):
+        now = spark.sparkContext.broadcast(adam.model)
 
         def train(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -233,9 +236,10 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str,
             rows = [(s, t) for b in batches for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             if not rows:
                 return
-            shard = _SHARDS.get(at)
-            if shard is None:
-                vocab, docs, ys = vocabulary.value, [], []
+            for old in [k for k in _SHARDS if k[0] != run_id]:
+                del _SHARDS[old]
+            if at not in _SHARDS:
+                (vocab, row), docs, ys = told.value, [], []
                 for subs, t in rows:
                     y = np.zeros(len(subjects), np.float32)
                     y[[number[s] for s in subs]] = 1
@@ -243,24 +247,24 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str,
                         g = [w for w in grams(s) if w in vocab]
                         if g:
                             docs.append(g), ys.append(y)
-                if not docs:
-                    return
-                shard = Shard(docs, np.array(ys))
-                _SHARDS.clear()
-                _SHARDS[at] = shard
-            out = local_steps(shard, now.value, steps, rate)
-            yield pa.RecordBatch.from_arrays([pa.array([len(shard.n)], pa.int64()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in out)], ["n", "e", "w", "b"])
-
-        got = mine.coalesce(PARTS).select("subjects", "text").mapInArrow(train, "n bigint, e binary, w binary, b binary").collect()  # at most a model for each partition
+                _SHARDS[at] = Shard(docs, np.array(ys), row) if docs else None
+            shard = _SHARDS[at]
+            if shard is not None:
+                out = shard.gradient(*now.value)
+                yield pa.RecordBatch.from_arrays([pa.array([len(shard.n)], pa.int64()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in out)], ["n", "e", "w", "b"])
+
+        got = mine.coalesce(tasks).select("subjects", "text").mapInArrow(train, "n bigint, e binary, w binary, b binary").collect()  # at most MAX_TASKS gradients
         if not got:
             return None, None
-        whole = sum(r.n for r in got)
-        shapes = [x.shape for x in model]
-        model = [sum(np.frombuffer(bytes(r[i]), np.float32).reshape(shape) * (r.n / whole) for r in sorted(got, key=lambda r: r.n)).astype(np.float32) for i, shape in zip(("e", "w", "b"), shapes)]
-        model[0] *= keep
+        n = np.float32(sum(r.n for r in got))
+        adam.step([sum(np.frombuffer(bytes(r[c]), np.float32) for r in got).reshape(x.shape) / n for c, x in zip("ewb", adam.model)])
+        now.unpersist()
+        if t % 8 == 0:
+            adam.model[0] *= np.float32(keep)
+    whole[0][used] = adam.model[0]
     seen = np.zeros(BUCKETS, bool)
-    seen[[_h(g) for g in vocabulary.value if " " in g]] = True
-    return model, seen
+    seen[[_h(g) for g in words if " " in g]] = True
+    return [whole[0], adam.model[1], adam.model[2]], seen
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", cut: float = 0.0, least: float = 0.25) -> DataFrame:

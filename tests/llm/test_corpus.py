@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import history, inputs, mixture, queries, scans, subjects, tokens
-from sluice.operators.scale import scratch
+from sluice.operators.scale import scratch, scratch_path
 
 TEXT = "The committee heard a report on the winter shelter and asked staff to return with costs. Members noted the long-term plan for the harbour crane and the meeting was adjourned. "
 
@@ -122,24 +122,74 @@ def test_history_batch_by_batch(spark, tmp_path):
 
     rows = history_rows()
     df = history_frame(spark, rows)
-    store, got = history.History(spark, str(tmp_path), buckets=8), set()
+    got = set()
     for b in range(5):
+        store = history.History(spark, str(tmp_path), buckets=8)  # found again by its folder
         batch = df.filter(F.col("batch_no") == b)
-        mine = batch.select(F.col("fetch_id").alias("id"), canonical_url("source_url").alias("url_key"))
-        texts = scratch(history.own_texts(batch, "fetch_id", "raw_html").withColumnRenamed("fetch_id", "id"))
-        found = scratch(store.check(mine, texts))
-        got |= {tuple(r) for r in found.collect()}
+        mine = batch.select(F.col("fetch_id").alias("id"), F.col("batch_no").alias("batch"), canonical_url("source_url").alias("url_key"))
+        texts = scratch(history.own_texts(batch, "fetch_id", "raw_html"))
+        found = store.check(mine, texts)
+        got |= {tuple(r) for r in store.repeats(found).collect()}
         store.append(mine, texts, found)
+        if b == 2:
+            store.compact()
     assert got == brute_history(rows)
 
 
-def test_keys_of_a_batch_are_those_of_each_text():
+def exchanged_scans(plan: str, location: str) -> int:
+    """Scans of a table that stand right below a shuffle, filters and projections aside."""
+    lines, n = plan.splitlines(), 0
+    for k, line in enumerate(lines):
+        if "FileScan" in line and location in line:
+            above = [l for l in lines[:k] if not any(x in l for x in ("Filter", "Project", "ColumnarToRow"))]
+            n += "Exchange" in above[-1]
+    return n
+
+
+def test_a_check_shuffles_no_history(spark, tmp_path):
+    store = history.History(spark, str(tmp_path), buckets=4)
+    rows = spark.createDataFrame([(i, 0, f"u{i}") for i in range(50)], "id bigint, batch int, url_key string")
+    keys = rows.select(F.xxhash64("url_key").alias("key"), F.lit(0).alias("kind"), "id", F.lit(0).alias("n"))
+    store._add("keys", keys)
+    past = store.table("keys").filter("kind = 0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = past.join(keys.select("key", "kind"), ["key", "kind"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "FileScan" in plan and "Bucketed: true" in plan and exchanged_scans(plan, "Bucketed: true") == 0
+
+
+def test_hashes_of_a_batch_are_those_of_each_text():
     r = random.Random(2)
     texts = [[[r.randrange(1 << 40) for _ in range(r.randint(1, 40))] for _ in range(r.randint(1, 6))] for _ in range(20)]
-    whole, keys, off = history.batch_keys(texts)
-    for k, t in enumerate(texts):
-        w, own, _ = history.batch_keys([t])
-        assert w[0] == whole[k] and own.tolist() == keys[off[k] : off[k + 1]].tolist()
+    plain = lambda row: [x.tolist() if hasattr(x, "tolist") else x for x in row]
+    assert [plain(x) for x in history.text_rows(texts)] == [plain(history.text_rows([t])[0]) for t in texts]
+    assert history.text_rows([]) == []
+
+
+def test_parts_lose_no_pair():
+    # Of the groups more are untouched than a text leaves out, whatever is edited.
+    r = random.Random(8)
+    for _ in range(200):
+        n = r.randint(10, 300)
+        a = [r.randrange(40) for _ in range(n)]
+        b = a[:]
+        for _ in range(n // 10):
+            b[r.randrange(n)] = 100 + r.randrange(40)
+        rows = history.text_rows([[a], [b]])
+        if history.common_words(a, b) < 0.9 * n:
+            continue
+        kept = []
+        for row in rows:
+            parts, at = set(), 0
+            for m, drop in zip(row[6].tolist(), row[7].tolist()):
+                parts |= set(sorted(row[5][at : at + m].tolist())[: m - drop])
+                at += m
+            kept.append(parts)
+        assert kept[0] & kept[1]
 
 
 def test_common_words():
@@ -172,9 +222,12 @@ def near_pairs(spark, plans):
             texts += [words, edited(r, words, subs, inserts, even)]
     pages = spark.createDataFrame([(i, html([" ".join(t) + "."])) for i, t in enumerate(texts)], "id bigint, raw_html string")
     own = scratch(history.own_texts(pages, "id", "raw_html"))
-    of = {r.text_hash: (r.id, r.n_words) for r in own.select("text_hash", "id", "n_words").collect()}
-    assert sorted(of.values()) == [(i, len(t)) for i, t in enumerate(texts)]
-    found = {tuple(sorted((of[p.a][0], of[p.b][0]))) for p in history.similar_texts(own).collect()}
+    assert sorted((r.id, r.n_text) for r in own.collect()) == [(i, len(t)) for i, t in enumerate(texts)]
+    rows = pages.select("id", F.lit(0).alias("batch"), F.lit(None).cast("string").alias("url_key"))
+    groups = {}
+    for r in history.History(spark, scratch_path(spark), buckets=4).check(rows, own).collect():
+        groups.setdefault(r.root, []).append(r.id)
+    found = {(a, b) for g in groups.values() for a in g for b in g if a < b}
     true = {(i, i + 1) for i in range(0, len(texts), 2) if history.common_words(texts[i], texts[i + 1]) >= 0.9 * max(len(texts[i]), len(texts[i + 1]))}
     return found, true
 
@@ -303,20 +356,27 @@ def test_subjects_without_labels(spark):
 
 
 def test_gradient():
-    shard = subjects.Shard([["a", "b", "a b"], ["c"], ["b", "c"]], np.array([[1, 0], [0, 1], [1, 1]]))
+    documents, labels = [["a", "b", "a b"], ["c"], ["b", "c"]], np.array([[1, 0], [0, 1], [1, 1]])
+    row = {f: k for k, f in enumerate(sorted({f for d in documents for w in d for f in subjects.word_features(w)}))}
+    shard = subjects.Shard(documents, labels, row)
     e, w, b = (x.astype(np.float64) for x in subjects.start_model(2))
+    e = e[: len(row)]
 
     def loss(e):
         v = np.add.reduceat(e[shard.feat], shard.feat_start) / shard.k[:, None]
         h = np.add.reduceat(v[shard.tok], shard.start) / shard.n[:, None]
         p = 1 / (1 + np.exp(-(h @ w + b)))
-        return -(shard.y * np.log(p) + (1 - shard.y) * np.log(1 - p)).sum() / len(shard.y)
+        return -(shard.y * np.log(p) + (1 - shard.y) * np.log(1 - p)).sum()
 
     de = shard.gradient(e, w, b)[0]
     for k in (0, 3):
         up = e.copy()
-        up[shard.used[k], 2] += 1e-5
+        up[k, 2] += 1e-5
         assert abs((loss(up) - loss(e)) / 1e-5 - de[k, 2]) < 1e-4
+    # Gradients of shards add up to that of the whole.
+    parts = [subjects.Shard(documents[a:b_], labels[a:b_], row).gradient(e, w, b) for a, b_ in ((0, 1), (1, 3))]
+    for x, y, z in zip(shard.gradient(e, w, b), *parts):
+        assert np.allclose(x, y + z)
 
 
 def test_named_queries(spark, data):
