@@ -39,11 +39,11 @@ def describe_json(payload: str | Column, keys: int = 12) -> Column:
     """
     s = F.trim(_c(payload))
     kind = json_kind(s)
-    names = F.coalesce(F.json_object_keys(F.when(kind == "object", s)), F.array().cast("array<string>"))
-    value = lambda k: F.try_element_at(F.from_json(s, "map<string,string>"), k)
-    listed = F.filter(names, lambda k: F.coalesce(F.json_array_length(value(k)), F.lit(0)) >= 2)
-    key = F.get(listed, 0)
-    items = F.when(kind == "array", s).when(key.isNotNull(), value(key))
+    # The object is parsed once, into its entries in written order.
+    entries = F.map_entries(F.from_json(F.when(kind == "object", s), "map<string,string>"))
+    listed = F.get(F.filter(entries, lambda e: F.coalesce(F.json_array_length(e["value"]), F.lit(0)) >= 2), 0)
+    key = listed["key"]
+    items = F.when(kind == "array", s).when(key.isNotNull(), listed["value"])
     first = F.get_json_object(items, "$[0]")
     of = F.coalesce(F.json_object_keys(F.when(items.isNotNull(), first).otherwise(F.when(kind == "object", s))), F.array().cast("array<string>"))
     count = F.when(items.isNotNull(), F.json_array_length(items)).otherwise(0)
@@ -51,13 +51,26 @@ def describe_json(payload: str | Column, keys: int = 12) -> Column:
     return F.when(kind.isNotNull(), F.struct(shape.alias("shape"), count.alias("item_count"), F.slice(F.array_sort(of), 1, keys).alias("item_keys"), (count >= 2).alias("is_listing")))
 
 
+#: Values longer than this stand under their label.
+LONG_VALUE = 120
+
+
+def item_text(fields: list[tuple[str, object]]) -> str:
+    """``synthesize`` for values at hand."""
+    lines = []
+    for label, value in fields:
+        v = "" if value is None else str(value).strip()
+        lines.append(f"\n{label}:\n{v}" if "\n" in v or len(v) > LONG_VALUE else f"{label}: {v}")
+    return "<html><body><pre>" + "\n".join(lines) + "</pre></body></html>"
+
+
 def synthesize(item: str | Column, fields: list[tuple[str, str]]) -> Column:
     """A text document of an item: ``LABEL: value`` lines, long or broken values under their label, in a ``pre``."""
 
     def line(label: str, dotted: str) -> Column:
-        v = F.trim(F.coalesce(dig(item, dotted), F.lit("")))
+        v = F.regexp_replace(F.coalesce(dig(item, dotted), F.lit("")), r"(?U)^\s+|\s+$", "")
         own = F.concat(F.lit(f"\n{label}:\n"), v)
-        return F.when(v.contains("\n") | (F.length(v) > 120), own).otherwise(F.concat(F.lit(f"{label}: "), v))
+        return F.when(v.contains("\n") | (F.length(v) > LONG_VALUE), own).otherwise(F.concat(F.lit(f"{label}: "), v))
 
     return F.concat(F.lit("<html><body><pre>"), F.concat_ws("\n", *(line(*f) for f in fields)), F.lit("</pre></body></html>"))
 

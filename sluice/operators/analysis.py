@@ -16,7 +16,7 @@ from sluice.functions.truncate import PROCUREMENT, TruncationProfile, Truncator
 from sluice.operators.sniff import TRANSIENT
 
 #: Keys that a restricted schema dialect accepts (fixed values).
-SCHEMA_KEYS = frozenset("type format description nullable enum items properties required minItems maxItems anyOf propertyOrdering".split())
+SCHEMA_KEYS = frozenset(["type", "format", "description", "nullable", "enum", "items", "properties", "required", "minItems", "maxItems", "anyOf", "propertyOrdering"])
 RESULT = "ok boolean, model string, used_fallback boolean, input_chars bigint, data string, text string, error string, warning string"
 
 
@@ -40,6 +40,22 @@ def _answer(raw: str):
     return json.loads(text)
 
 
+#: Environment variables that name a model's function and its models.
+CALL, MODEL, STAND_IN = "SLUICE_MODEL_CALL", "SLUICE_MODEL", "SLUICE_STAND_IN"
+
+
+def resolve_provider(call: str | None = None, model: str | None = None, stand_in: str | None = None) -> tuple[Callable, tuple[str, str | None]]:
+    """The function to call (``module:function``) and its models: what is given, else what the environment names, else an error."""
+    import importlib
+    import os
+
+    name = call or os.environ.get(CALL)
+    if not name or ":" not in name:
+        raise ValueError(f"no model to call: give module:function, or set {CALL}")
+    module, function = name.split(":", 1)
+    return getattr(importlib.import_module(module), function), (model or os.environ.get(MODEL, "default"), stand_in or os.environ.get(STAND_IN))
+
+
 def analyse(df: DataFrame, text: str, prompt: str, call: Callable[[str, str, dict | None, str], str], models: tuple[str, str | None], schema: dict | None = None, budget: int = 400_000, profile: TruncationProfile = PROCUREMENT) -> DataFrame:
     """``df`` with a struct ``analysis``: the answer of the first model, or of the second where the first was busy.
 
@@ -90,8 +106,26 @@ def choose_reader(plumber: Column, pypdf: Column, ocr: Column, least: int = 100,
     return F.struct(F.when(enough(plumber), plumber).when(enough(pypdf), pypdf).otherwise(read).alias("text"), method.alias("method"))
 
 
-def read_pdfs(files: DataFrame, least: int = 100) -> DataFrame:
-    """``path, text, method`` of ``binaryFile`` rows by the installed readers; without any, a row says so in ``error``."""
+#: Bounds of reading a scanned file: pages, seconds for a page, seconds for turning pages into pictures.
+OCR_PAGES, OCR_PAGE_SECONDS, OCR_PICTURE_SECONDS = 30, 30, 120
+
+
+def ocr_text(content: bytes, pages: int = OCR_PAGES, page_seconds: int = OCR_PAGE_SECONDS, picture_seconds: int = OCR_PICTURE_SECONDS) -> str:
+    """Text of a scanned file by the installed OCR (``pdf2image`` and ``pytesseract``), within bounds of pages and time; a page out of time is left out."""
+    from pdf2image import convert_from_bytes
+    from pytesseract import image_to_string
+
+    out = []
+    for picture in convert_from_bytes(content, last_page=pages, timeout=picture_seconds):
+        try:
+            out.append(image_to_string(picture, timeout=page_seconds))
+        except RuntimeError:
+            continue
+    return "\n\n".join(t for t in out if t.strip())
+
+
+def read_pdfs(files: DataFrame, least: int = 100, ocr: bool = True) -> DataFrame:
+    """``path, text, method, error`` of ``binaryFile`` rows by the installed readers, then OCR; without any, a row says so in ``error``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -113,6 +147,14 @@ def read_pdfs(files: DataFrame, least: int = 100) -> DataFrame:
             readers.append(("pypdf", lambda b: "\n\n".join(t for p in PdfReader(io.BytesIO(b)).pages if (t := p.extract_text()))))
         except ImportError:
             pass
+        if ocr:
+            try:
+                import pdf2image  # noqa: F401
+                import pytesseract  # noqa: F401
+
+                readers.append(("ocr", ocr_text))
+            except ImportError:
+                pass
         for df in batches:
             rows = []
             for path, content in zip(df["path"], df["content"]):
@@ -123,7 +165,7 @@ def read_pdfs(files: DataFrame, least: int = 100) -> DataFrame:
                     except Exception as e:
                         out = (path, "", "none", f"{type(e).__name__}: {e}")
                         continue
-                    if len(text) >= least:
+                    if len(text) >= least or name == "ocr" and text:
                         out = (path, text, name, None)
                         break
                 rows.append(out)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.urls import host, is_pdf, path, slug_shape
+from sluice.functions.urls import common_path_prefix, host, is_pdf, path, segments, slug_shape
 
 #: Words that documents' links use, in order of preference (fixed values).
-DOC_WORDS = "minutes agenda notice report packet resolution bid tender rfp filing transcript meeting session hearing budget contract proceedings".split()
+DOC_WORDS = [
+    "minutes", "agenda", "notice", "report", "packet", "resolution", "bid", "tender", "rfp", "filing", "transcript", "meeting", "session", "hearing", "budget", "contract", "proceedings",
+]
 
 
 def links_of(pages: DataFrame, page: str, read: str = "read") -> DataFrame:
@@ -17,7 +21,8 @@ def links_of(pages: DataFrame, page: str, read: str = "read") -> DataFrame:
 
 
 def first_of_each(links: DataFrame) -> DataFrame:
-    """The first link of each address on a page, with its label."""
+    """The first link of each address on a page, with its label. Rows are brought together by page, so that later steps by page need no shuffle of their own."""
+    links = links.repartition("page")
     w = Window.partitionBy("page", "href").orderBy("pos")
     return links.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
@@ -50,14 +55,25 @@ def document_pages_or_index(pages: DataFrame, links: DataFrame, needle: str = "m
 
 
 def listing(links: DataFrame, pattern: str, limit: int = 3) -> DataFrame:
-    """Detail pages whose raw address matches ``pattern``: by the number it captures, newest first, if every link of the page has one, else in page order."""
-    groups = pattern.replace("(?:", "").count("(")
-    key = F.try_to_number(F.regexp_extract("raw", pattern, 1), F.lit("9999999999")).cast("bigint") if groups else F.lit(None).cast("bigint")
-    found = first_of_each(links.filter(F.col("raw").rlike(pattern))).withColumn("key", key)
+    """Detail pages whose raw address matches ``pattern``: by the number it captures (of any length), newest first, if every link of the page has one, else in page order."""
+    found = re.compile(pattern).groups
+    key = F.nullif(F.regexp_extract("raw", pattern, 1), F.lit("")) if found else F.lit(None).cast("string")
+    key = F.when(key.rlike(r"^[0-9]+$"), F.regexp_replace(key, r"^0+(?=[0-9])", ""))
+    rows = first_of_each(links.filter(F.col("raw").rlike(pattern))).withColumn("key", key)
     w = Window.partitionBy("page")
-    numbered = F.count("key").over(w) == F.count("*").over(w)
-    found = found.withColumn("_order", F.when(numbered, -F.col("key")).otherwise(0))
-    return first_on_page(found, limit, F.col("_order")).drop("_order")
+    rows = rows.withColumn("_numbered", F.count("key").over(w) == F.count("*").over(w))
+    # Numbers without leading zeros compare by their length, then as texts.
+    order = [F.when(F.col("_numbered"), F.length("key")).desc(), F.when(F.col("_numbered"), F.col("key")).desc()]
+    return first_on_page(rows, limit, *order).drop("_numbered")
+
+
+def detail_files(listed: DataFrame, links: DataFrame, keyword: str | None = None) -> DataFrame:
+    """``page, rank, href, file, label``: of each listed detail page (from ``listing``) its first matching file; detail pages without one give no row.
+
+    The join of an index with its detail pages: ``links`` are those of the detail pages, by address.
+    """
+    files = first_pdf(links, keyword).select(F.col("page").alias("href"), F.col("href").alias("file"), F.col("label").alias("file_label"))
+    return listed.select("page", "rank", "href").join(files, "href").select("page", "rank", "href", "file", F.col("file_label").alias("label"))
 
 
 def first_pdf(links: DataFrame, keyword: str | None = None) -> DataFrame:
@@ -127,3 +143,14 @@ def top_word(links: DataFrame, least: int = 2) -> DataFrame:
     """The document word most links of a page mention, attachments aside."""
     worded = links.filter(~F.split_part(F.lower("href"), F.lit("?"), F.lit(1)).rlike(r"\.(pdf|doc|docx)$")).withColumn("word", doc_word(F.lower(F.concat_ws(" ", "href", "label"))))
     return _top(worded.filter("word is not null").groupBy("page", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")), "word", least)
+
+
+def common_prefix(urls: DataFrame, group: str, url: str) -> DataFrame:
+    """``group, prefix``: leading path segments that all addresses of a group share, as ``/a/b/``; empty where none is shared.
+
+    What the least and the greatest address share, all share, so two of each group are kept, not all.
+    """
+    parts = segments(path(url))
+    ends = urls.groupBy(group).agg(F.min(parts).alias("_lo"), F.max(parts).alias("_hi"))
+    both = F.array(*(F.concat(F.lit("/"), F.array_join(F.coalesce(c, F.array().cast("array<string>")), "/")) for c in ("_lo", "_hi")))
+    return ends.select(group, common_path_prefix(both).alias("prefix"))

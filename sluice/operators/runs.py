@@ -116,16 +116,27 @@ def select_recipes(recipes: DataFrame, memory: DataFrame, only: list[str] | None
 def upsert_recipes(book: DataFrame, changes: DataFrame, key: str = "source_id", memory: str | None = None) -> DataFrame:
     """The book after adding or replacing recipes by id, with what happened to each (kept, updated, added).
 
-    A replaced recipe keeps its old ``memory`` (a column) where the new one is null. Of changes of one
+    A replaced recipe keeps its old ``memory`` (a column) where the new one is null or ``{}``, and its place (``pos``, if
+    there is such a column); added ones come after all others in the order of their own ``pos``. Of changes of one
     id the last given counts only if they are unique: callers make them so.
     """
-    rest = [c for c in book.columns if c != key]
-    new = changes.select(key, *(F.col(c).alias(f"_{c}") for c in rest), F.lit(True).alias("_new"))
+    rest = [c for c in book.columns if c not in (key, "pos")]
+    place = "pos" in book.columns
+    new = changes.select(key, *(F.col(c).alias(f"_{c}") for c in [*rest, *(["pos"] if place else [])]), F.lit(True).alias("_new"))
     x = book.withColumn("_old", F.lit(True)).join(new, key, "full")
-    pick = lambda c: F.when(F.col("_new"), F.coalesce(f"_{c}", c) if c == memory else F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-    return x.select(key, *map(pick, rest), F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "added").otherwise("updated").alias("change"))
+    kept = lambda c: F.coalesce(F.when(F.col(f"_{c}").cast("string") != "{}", F.col(f"_{c}")), c)
+    pick = lambda c: F.when(F.col("_new"), kept(c) if c == memory else F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    at = [F.coalesce(F.col("pos").cast("bigint"), F.lit(1 << 40) + F.col("_pos")).alias("pos")] if place else []
+    return x.select(key, *at, *map(pick, rest), F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "added").otherwise("updated").alias("change"))
 
 
 def sparse_json(columns: list[Column | str]) -> Column:
-    """JSON of a struct without nulls, zeros and falses, as recipe files keep memory."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+    """JSON of a struct without nulls, zeros, falses and empty texts, as recipe files keep memory; null where nothing is left."""
+    return F.nullif(F.to_json(F.struct(*map(sparse, columns)), {"ignoreNullFields": "true"}), F.lit("{}"))
+
+
+def sparse(column: Column | str) -> Column:
+    """A column under its own name, null where it is zero, false or empty."""
+    name = column if isinstance(column, str) else column._jc.toString()
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(~c.cast("string").isin("0", "0.0", "false", ""), c).alias(name.rsplit(".", 1)[-1])

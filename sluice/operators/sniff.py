@@ -9,7 +9,7 @@ from sluice.functions.dates import date_from_iso_prefix
 from sluice.functions.jsons import describe_json, dig, json_items, synthesize
 
 #: Suffixes of static files (fixed values).
-STATIC = "js css png jpg jpeg gif svg woff woff2 ttf ico webp mp4".split()
+STATIC = ["js", "css", "png", "jpg", "jpeg", "gif", "svg", "woff", "woff2", "ttf", "ico", "webp", "mp4"]
 #: Parts of an error that say a service is busy, not that the request is wrong (fixed values).
 TRANSIENT = ["429", "500", "502", "503", "529", "overloaded", "unavailable", "rate_limit", "rate limit", "resource_exhausted", "resource exhausted", "quota", "timeout", "timed out", "deadline", "internal error", "high demand", "capacity"]
 

@@ -127,8 +127,7 @@ def pdf_address_tests(spark, d):
 )
 def common_path_prefix(spark, d):
     """Shared leading segments of the addresses of each run; SQL compares the least and the greatest only."""
-    f = _fetched(spark, d, "run_id", "source_url")
-    return f.groupBy("run_id").agg(urls.common_path_prefix(F.collect_list(urls.path("source_url"))).alias("prefix"))
+    return links.common_prefix(_fetched(spark, d, "run_id", "source_url"), "run_id", "source_url")
 
 
 @query()

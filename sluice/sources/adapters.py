@@ -15,12 +15,13 @@ from datetime import date, datetime
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from sluice.functions.dates import DateProfile, DateReader
+from sluice.functions.dates import DateProfile, read_url_date
 from sluice.functions.html import page_links
+from sluice.functions.jsons import item_text
 from sluice.sources.store import Response, open_store
 
 DOCUMENT = "source_id string, source_url string, title string, file_name string, raw_content binary, raw_html string, doc_date date, content_type string, fetched_at timestamp"
-COMMON = frozenset({"source_id", "limit", "replay", "timeout", "urls", "path"})
+COMMON = frozenset({"source_id", "limit", "replay", "timeout", "urls", "path", "year", "on_error"})
 
 _REGISTRY: dict[str, type[Adapter]] = {}
 
@@ -39,6 +40,8 @@ class Adapter(DataSource):
 
     address = "page_url"
     fields: dict = {}
+    #: Whether the adapter asks for its address at all.
+    asks = True
 
     def schema(self) -> str:
         return DOCUMENT
@@ -57,7 +60,7 @@ class Adapter(DataSource):
         urls = [u.strip() for u in (given.get("urls") or given.get(self.address) or "").splitlines() if u.strip()]
         if not urls or any(not re.match(r"https?://", u) for u in urls):
             raise ConfigError(f"{self.name()}: {self.address} must be an http address")
-        return out | {"urls": urls, "limit": int(given.get("limit", 3)), "source_id": given.get("source_id", self.name())}
+        return out | {"urls": urls, "limit": int(given.get("limit", 3)), "source_id": given.get("source_id", self.name()), "year": int(given.get("year", date.today().year)), "on_error": given.get("on_error", "raise")}
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(type(self), self.config(), dict(self.options))
@@ -77,10 +80,25 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Page):
         store = open_store(self.given)
         now = datetime.now()
-        for d in self.adapter.fetch(partition.url, self.settings, store.get):
+        for d in self._documents(partition.url, store):
             yield (self.settings["source_id"], d["source_url"], d.get("title"), d.get("file_name"), d.get("raw_content"), d.get("raw_html"), d.get("doc_date"), d["content_type"], now)
 
 
+    def _documents(self, url: str, store):
+        """The documents of an address; with ``on_error`` row a failure is a row of its own, so that other sources of the job go on."""
+        try:
+            n = 0
+            for d in self.adapter.fetch(url, self.settings, store.get):
+                n += 1
+                yield d
+            if not n and self.settings["on_error"] == "row" and self.adapter.asks and (why := store.attempt(url)).response is None:
+                yield {"source_url": url, "title": why.error, "content_type": "error"}
+        except Exception as e:
+            if self.settings["on_error"] != "row":
+                raise
+            yield {"source_url": url, "title": f"{type(e).__name__}: {e}", "content_type": "error"}
+
+
 def register_source(*names: str):
     """Class decorator: the first name is the adapter's own, the others aliases. A name of another class is an error."""
 
@@ -134,14 +152,8 @@ def _pdf(get, url: str, title: str | None, doc_date: date | None) -> Iterator[di
         yield {"source_url": url, "title": title or None, "file_name": _file(r.url), "raw_content": r.body, "doc_date": doc_date, "content_type": "pdf"}
 
 
-def _url_date(url: str) -> date | None:
-    found = re.search(r"(\d{4})[-_/](\d{1,2})[-_/](\d{1,2})", url) or re.search(r"(?P<m>\d{1,2})[-_/](?P<d>\d{1,2})[-_/](?P<y>\d{4})", url)
-    reader = DateReader(DateProfile(date.today().year))
-    if found:
-        g = found.groupdict()
-        y, m, d = (int(g[k]) for k in "ymd") if g else map(int, found.groups())
-        return reader._date(y, m, d)
-    return None
+def _url_date(url: str, config: dict) -> date | None:
+    return read_url_date(url, DateProfile(config["year"]))
 
 
 @register_source("pdf_direct")
@@ -157,7 +169,7 @@ class PdfDirect(Adapter):
         links = page_links(page.text, url) if page else []
         chosen = [(href, label) for _, _, href, label in links if (want in href if want else href.lower().endswith(".pdf")) and not (bar and bar in href)]
         for href, label in chosen[: config["limit"]]:
-            yield from _pdf(get, href, label, _url_date(href))
+            yield from _pdf(get, href, label, _url_date(href, config))
 
 
 @register_source("html_page")
@@ -177,7 +189,7 @@ class HtmlPage(Adapter):
             yield {"source_url": url, "raw_html": page.text, "content_type": "html"}
         for href, label in chosen[: config["limit"]]:
             if r := get(href):
-                yield {"source_url": href, "title": label or None, "raw_html": r.text, "doc_date": _url_date(href), "content_type": "html"}
+                yield {"source_url": href, "title": label or None, "raw_html": r.text, "doc_date": _url_date(href, config), "content_type": "html"}
 
 
 @register_source("pdf_listing")
@@ -250,12 +262,7 @@ class JsonApi(Adapter):
         if config["filter_path"] and config["filter_value"]:
             items = [it for it in items if cls._dig(it, config["filter_path"]) == config["filter_value"]]
         for it in items[: config["limit"]]:
-            lines = []
-            for label, dotted in json.loads(config["text_fields"]).items():
-                v = cls._dig(it, dotted)
-                v = "" if v is None else str(v).strip()
-                lines += ["", f"{label}:", v] if "\n" in v or len(v) > 120 else [f"{label}: {v}"]
-            body = "<html><body><pre>" + "\n".join(lines) + "</pre></body></html>"
+            body = item_text([(label, cls._dig(it, dotted)) for label, dotted in json.loads(config["text_fields"]).items()])
             yield {"source_url": f"{url}/{cls._dig(it, config['id_field']) or 'unknown'}", "raw_html": body, "doc_date": cls._day(cls._dig(it, config["date_field"])), "content_type": "html"}
 
 
@@ -269,7 +276,7 @@ class _Rendered(Adapter):
     def fetch(cls, url, config, get):
         page = get(url)
         if page and config["follow_link_text"]:
-            text = config["follow_link_text"].replace("{year}", str(date.today().year)).lower()
+            text = config["follow_link_text"].replace("{year}", str(config["year"])).lower()
             target = next((h for _, _, h, l in page_links(page.text, url) if text in l.lower()), None)
             page, url = (get(target), target) if target else (page, url)
         if not page:
@@ -278,7 +285,7 @@ class _Rendered(Adapter):
             yield {"source_url": url, "raw_html": page.text, "content_type": "html"}
             return
         for href in cls.choose(page_links(page.text, url), config)[: config["limit"]]:
-            yield from _pdf(get, href, None, _url_date(href))
+            yield from _pdf(get, href, None, _url_date(href, config))
 
     @classmethod
     def choose(cls, links, config) -> list[str]:
@@ -310,6 +317,7 @@ class Blocked(Adapter):
     """A source known to be out of reach: it records why and gives no documents."""
 
     fields = {"reason": ..., "detail": None}
+    asks = False
     reasons = ("login_required", "waf", "captcha", "ip_blocked", "paywall", "no_public_archive", "other")
 
     def config(self) -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.html import html_text
 from sluice.functions.urls import sanitize_filename
+from sluice.operators.runs import sparse
 
 RECIPES = (
     "version int, sources array<struct<id:string,source_type:string,config:string,enabled:boolean,notes:string,"
@@ -14,6 +15,10 @@ RECIPES = (
 )
 
 
+#: What a recipe remembers of its runs.
+MEMORY = ["success_count", "failure_count", "consecutive_failures", "last_status", "last_ok_at", "last_run_at", "last_error", "doc_url_pattern", "quarantined", "quarantine_reason"]
+
+
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     """``path, kind, text, method, error`` of files: pages and plain texts are read here, PDF files by ``operators.analysis.read_pdfs``."""
     f = spark.read.format("binaryFile").load(list(paths))
@@ -44,8 +49,11 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recipe_json(recipes: DataFrame) -> DataFrame:
-    """One row ``json``: the book of recipes in their order, without nulls."""
-    row = F.to_json(F.struct("id", "source_type", F.try_parse_json("config").alias("config"), "enabled", "notes"), {"ignoreNullFields": "true"})
+    """One row ``json``: the book of recipes in their order, without nulls; memory is sparse, and left out where a source has none. A book is as long as it has sources."""
+    memory = [sparse(f"memory.{c}") for c in MEMORY]
+    kept = F.greatest(*(m.isNotNull() for m in memory))
+    memory_column = [F.when(kept, F.struct(*memory)).alias("memory")] if "memory" in recipes.columns else []
+    row = F.to_json(F.struct("id", "source_type", F.try_parse_json("config").alias("config"), "enabled", "notes", *memory_column), {"ignoreNullFields": "true"})
     return recipes.agg(F.concat(F.lit('{"version":1,"sources":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", row.alias("j")))), lambda x: x["j"]), ","), F.lit("]}")).alias("json"))
 
 

@@ -35,6 +35,45 @@ def test_discover_record_run(spark, capsys, tmp_path, replay):
     assert code == 0 and out["skipped"] == [{"id": "town", "because": "not selected"}]
 
 
+def test_remembered_runs(spark, capsys, tmp_path, replay):
+    book = tmp_path / "book.json"
+    book.write_text(json.dumps({"version": 1, "sources": [
+        {"id": "town", "source_type": "html_page", "config": {"page_url": "https://t.example/"}, "memory": {"success_count": 1, "doc_url_pattern": "^https://t\\.example/agendas/[0-9-]+$"}},
+        {"id": "gone", "source_type": "html_page", "config": {"page_url": "https://t.example/gone"}}, {"id": "wrong", "source_type": "html_page", "config": {"nope": 1}},
+    ]}))
+    for n in (1, 2, 3):
+        code, out = call(capsys, "run", str(book), "--remember", "--replay", replay, "--year", "2026")
+        ran = {r["source_id"]: r for r in out["runs"]}
+        assert code == 2 and {k: r["status"] for k, r in ran.items()} == {"town": "ok", "gone": "error", "wrong": "error"}
+        assert ("shape_changed" in ran["town"]) == (n == 1) and "connection failed" in ran["gone"]["error"] and "nope" in ran["wrong"]["error"]
+    kept = {s["id"]: s["memory"] for s in json.loads(book.read_text())["sources"]}
+    assert kept["town"]["success_count"] == 4 and "failure_count" not in kept["town"] and kept["town"]["doc_url_pattern"].endswith("/minutes/[0-9-]+$")
+    assert kept["gone"]["quarantined"] and kept["gone"]["consecutive_failures"] == 3 and out["newly_quarantined"] == ["gone", "wrong"]
+    code, out = call(capsys, "run", str(book), "--replay", replay, "--year", "2026")
+    assert code == 0 and [s["id"] for s in out["skipped"]] == ["gone", "wrong"]
+
+
+def test_analyze_sniff_and_outputs(spark, capsys, tmp_path, monkeypatch):
+    import io
+    import sys
+
+    f, out = tmp_path / "a.txt", str(tmp_path / "out")
+    f.write_text("hello world")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "own_model.py").write_text("import json\ndef upper(text, prompt, schema, model):\n    return json.dumps({'start': text[:5].upper(), 'model': model})\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "own_model.py"))
+    code, got = call(capsys, "analyze", str(f), "--prompt", "p", "--call", "own_model:upper", "--model", "m", "--out", out)
+    assert code == 0 and json.loads(open(got["results"][0]["output_path"]).read()) == {"start": "HELLO", "model": "m"}
+    assert call(capsys, "analyze", str(f), "--prompt", "p")[0] == 1 and call(capsys, "analyze", str(f), "--call", "own_model:upper")[0] == 1
+    monkeypatch.setattr(sys, "stdin", io.StringIO("from a pipe"))
+    code, rows = call(capsys, "extract", "-", "--out", out)
+    assert code == 0 and open(rows[0]["output_path"]).read() == "from a pipe"
+    trace = tmp_path / "t.json"
+    trace.write_text(json.dumps({"page": "p", "pos": 0, "method": "GET", "url": "https://h/api?x=1", "content_type": "application/json", "body": '{"items": [{"a": 1}, {"a": 2}]}'}))
+    code, got = call(capsys, "sniff", str(trace))
+    assert code == 0 and got["suggestions"][0]["api_url"] == "https://h/api" and got["suggestions"][0]["items_key"] == "items"
+
+
 def test_usage_and_files(spark, capsys, tmp_path):
     assert call(capsys, "validate", "html_page", "--config", '{"nope": 1}')[0] == 1
     assert call(capsys, "schema", "none")[0] == 1

@@ -45,6 +45,42 @@ def test_listing_order(spark):
     assert links.listing(df.limit(0), r"/d/(\d+)").count() == 0
 
 
+def test_listing_numbers_of_any_length_and_groups(spark):
+    rows = [("p", i, f"/d/{x}", f"u{x}", "") for i, x in enumerate(["100000000001", "100000000003", "0099", "100000000002"])]
+    df = spark.createDataFrame(rows, "page string, pos int, raw string, href string, label string")
+    order = ["u100000000003", "u100000000002", "u100000000001", "u0099"]
+    for pattern in (r"/d/(\d+)", r"/d\(?/(?=\d)(\d+)"):
+        assert [r.href for r in links.listing(df, pattern, limit=9).orderBy("rank").collect()] == order
+    assert [r.href for r in links.listing(df, r"/d/(?=\d)", limit=2).orderBy("rank").collect()] == ["u100000000001", "u100000000003"]
+    files = spark.createDataFrame([("u100000000003", 0, "x.pdf", "f3.pdf", "agenda"), ("u100000000003", 1, "y.pdf", "f4.pdf", "minutes"), ("u0099", 0, "n", "n", "")], "page string, pos int, raw string, href string, label string")
+    assert [tuple(r) for r in links.detail_files(links.listing(df, r"/d/(\d+)"), files, "minutes").collect()] == [("p", 1, "u100000000003", "f4.pdf", "minutes")]
+
+
+def test_common_prefix(spark):
+    df = spark.createDataFrame([(1, "https://h/a/b/1"), (1, "https://h/a/b/2"), (2, "https://h/x"), (2, "https://h/y"), (3, None)], "g int, u string")
+    assert {r.g: r.prefix for r in links.common_prefix(df, "g", "u").collect()} == {1: "/a/b/", 2: "", 3: ""}
+
+
+def test_candidates_of_a_page(spark):
+    link = lambda i, h, t="": (i, h, h, t)
+    rows = [
+        ("https://t.example/", ([link(i, f"https://t.example/f/{i}.pdf?x=1") for i in range(3)], 900, 0, None)),
+        ("https://u.example/", ([link(i, f"https://u.example/view/{i}") for i in range(4)], 10, 9, None)),
+        ("https://v.legistar.com/", ([], None, None, None)),
+        ("https://w.example/", (None, 5, 0, "https://w.example/wp-json/")),
+    ]
+    df = spark.createDataFrame(rows, "page string, read struct<links:array<struct<pos:int,raw:string,href:string,label:string>>,text_chars:bigint,script_tags:int,wp_api:string>")
+    got = {}
+    for r in probe.candidates(df).orderBy("page", "rank").collect():
+        got.setdefault(r.page[8], []).append((r.source_type, r.confidence, r.evidence_count))
+    assert got == {"t": [("pdf_direct", "high", 3)], "u": [("pdf_listing", "medium", 4), ("playwright_render", "medium", 9)], "v": [(None, "high", 1)], "w": [("json_api", "high", 1)]}
+    served = spark.createDataFrame([("https://u.example/view/0", "application/pdf"), ("https://t.example/f/0.pdf?x=1", "application/pdf")], "href string, content_type string")
+    first = probe.candidates(df, served).filter("page = 'https://u.example/' and rank = 1").collect()[0]
+    assert (first.source_type, first.confidence, first.detail, first.config) == ("pdf_direct", "high", "/view/", '{"page_url":"https://u.example/","pdf_link_pattern":"/view/"}')
+    plan = probe.candidates(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # all from a page's own row
+
+
 def test_top_ties_go_to_the_first(spark):
     rows = [("https://h.example/", i, "", f"https://h.example/{x}", "") for i, x in enumerate(["b/1", "a/1", "a/2", "b/2", "a/3", "b/3"])]
     df = spark.createDataFrame(rows, "page string, pos int, raw string, href string, label string")
@@ -83,6 +119,8 @@ def test_upsert_and_first_rows(spark):
     new = spark.createDataFrame([("a", "9", None), ("c", "3", None)], "source_id string, config string, memory string")
     got = {r.source_id: tuple(r)[1:] for r in runs.upsert_recipes(book, new, memory="memory").collect()}
     assert got == {"a": ("9", "m", "updated"), "b": ("2", None, "kept"), "c": ("3", None, "added")}
+    placed = runs.upsert_recipes(book.selectExpr("*", "source_id = 'a' as pos").withColumn("pos", F.col("pos").cast("int")), new.withColumn("pos", F.lit(0)), memory="memory")
+    assert [r.source_id for r in placed.orderBy("pos").collect()] == ["b", "a", "c"]
     rep = scratch(spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (None, "n"), (None, "n")], "k int, v string"))
     assert sorted(map(tuple, first_rows(rep, "k", "v").collect()), key=str) == [(1, "x"), (2, None), (None, "n")]
     assert first_rows(rep.limit(0), "k").count() == 0

@@ -85,6 +85,29 @@ def test_recipes(spark, tmp_path):
     assert [(r.id, r.enabled, r.memory and r.memory.success_count) for r in got] == [("b", True, None), ("a", False, 2)]
     book = json.loads(recipe_json(read_recipes(spark, str(p))).collect()[0].json)
     assert [s["id"] for s in book["sources"]] == ["b", "a"] and book["sources"][0]["config"] == {"page_url": "u"}
+    assert "memory" not in book["sources"][0] and book["sources"][1]["memory"] == {"success_count": 2}
     p.write_text('{"version": 1}')
     with pytest.raises(Exception, match="not a recipe file"):
         read_recipes(spark, str(p)).collect()
+
+
+def test_why_a_request_failed(tmp_path):
+    from sluice.sources.store import LiveStore, ReplayStore
+
+    path = str(tmp_path / "r.parquet")
+    pq.write_table(pa.table({"url": ["a", "b", "c"], "status": pa.array([200, 403, None], pa.int64()), "content_type": ["text/html"] * 3, "body": [b"x"] * 3, "error": [None, None, "timeout after 30s"]}), path)
+    store = ReplayStore(path)
+    assert store.attempt("a").response.text == "x" and store.get("b") is None
+    assert store.attempt("b")[1:] == (403, "HTTP 403") and store.attempt("c")[1:] == (None, "timeout after 30s") and "connection failed" in store.attempt("d").error
+    assert LiveStore().attempt("no address").response is None
+    assert "connection failed" in LiveStore(timeout=2).attempt("http://127.0.0.1:9/").error
+
+
+def test_url_dates_agree(spark):
+    from pyspark.sql import functions as F
+
+    from sluice.functions.dates import DateProfile, date_from_url, read_url_date
+
+    urls = ["a/2026-13-40/2025-03-16.pdf", "m_12-31-2024.pdf", "minutes-March-5,-2025", "x/1999-01-01", "may_7_2026", "none", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in df.select(date_from_url("u", DateProfile(2026))).collect()] == [read_url_date(u, DateProfile(2026)) for u in urls]
