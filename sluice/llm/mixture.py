@@ -13,25 +13,30 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.scale import scratch
+from sluice.operators.scale import lookup, scratch
 
-#: Hash buckets of a level of the histograms; two levels place a cut to within about a text.
-BUCKETS = 1024
-#: Most targets and most patterns (sets of target sources that occur) the driver solves for.
-MAX_TARGETS, MAX_PATTERNS = 60, 20_000
+#: Hash buckets of a level of the histograms; two levels place a cut to within a 65,536th of a pattern.
+BUCKETS = 256
+#: Most targets and most patterns (sets of target sources that occur) the driver solves for; more are refused. At both
+#: limits at once a solution takes seconds (tested), and the histograms on the driver stay under two million rows.
+MAX_TARGETS, MAX_PATTERNS = 60, 2_000
 #: Part of the tokens held by the target sources that a mixture aims at, even if sources then fall short.
 LEAST_PART = 0.5
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """Flow on each arc ``(from, to, capacity, cost)`` of a maximum flow of least cost, by successive shortest paths with potentials."""
+    """Flow on each arc ``(from, to, capacity, cost)`` of a maximum flow of least cost, primal-dual.
+
+    Shortest distances come once for each length a path can have, of which there are few (the steps of the repetition costs);
+    all flow along shortest paths then goes at once, by blocking flows.
+    """
     to, cap, cost, out = [], [], [], [[] for _ in range(n)]
     for a, b, c, w in arcs:
         out[a].append(len(to)), to.append(b), cap.append(c), cost.append(w)
         out[b].append(len(to)), to.append(a), cap.append(0), cost.append(-w)
     height = [0] * n
     while True:
-        far, by = [None] * n, [-1] * n
+        far: list[int | None] = [None] * n
         far[source] = 0
         heap = [(0, source)]
         while heap:
@@ -42,20 +47,50 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, si
                 if cap[e] > 0:
                     b, x = to[e], d + cost[e] + height[a] - height[to[e]]
                     if far[b] is None or x < far[b]:
-                        far[b], by[b] = x, e
+                        far[b] = x
                         heapq.heappush(heap, (x, b))
         if far[sink] is None:
             return [cap[2 * k + 1] for k in range(len(arcs))]
-        height = [h + (far[k] if far[k] is not None else far[sink]) for k, h in enumerate(height)]
-        push, a = None, sink
-        while a != source:
-            push = cap[by[a]] if push is None else min(push, cap[by[a]])
-            a = to[by[a] ^ 1]
-        a = sink
-        while a != source:
-            cap[by[a]] -= push
-            cap[by[a] ^ 1] += push
-            a = to[by[a] ^ 1]
+        height = [h + (far[k] if far[k] is not None and far[k] < far[sink] else far[sink]) for k, h in enumerate(height)]
+        tight = lambda a, e: cap[e] > 0 and cost[e] + height[a] - height[to[e]] == 0
+        while True:
+            level = [-1] * n
+            level[source] = 0
+            row = [source]
+            while row and level[sink] < 0:
+                fresh = []
+                for a in row:
+                    for e in out[a]:
+                        if level[to[e]] < 0 and tight(a, e):
+                            level[to[e]] = level[a] + 1
+                            fresh.append(to[e])
+                row = fresh
+            if level[sink] < 0:
+                break
+            turn, way, a = [0] * n, [], source
+            while True:
+                if a == sink:
+                    push = min(cap[e] for e in way)
+                    for e in way:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    k = next(k for k, e in enumerate(way) if not cap[e])
+                    a = to[way[k] ^ 1]
+                    del way[k:]
+                    continue
+                while turn[a] < len(out[a]):
+                    e = out[a][turn[a]]
+                    if level[to[e]] == level[a] + 1 and tight(a, e):
+                        break
+                    turn[a] += 1
+                if turn[a] < len(out[a]):
+                    way.append(e)
+                    a = to[e]
+                elif way:
+                    a = to[way.pop() ^ 1]
+                    turn[a] += 1
+                else:
+                    break
 
 
 def route(patterns: list[tuple[int, int]], targets: list[tuple[float, int]], total: int) -> dict[tuple[int, int], int]:
@@ -139,7 +174,7 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text_
         at[r.mask] = at.get(r.mask, 0) + r.n
     open_at = [(m, h) for (m, h), (b, n) in begin.items() if any(b < e < b + n for e in ends[m])]
     opened = spark.createDataFrame(open_at or [(-1, -1)], "mask bigint, h1 int")
-    second = texts.join(F.broadcast(opened), ["mask", "h1"]).groupBy("mask", "h1", "h2").agg(F.sum("n").alias("n")).orderBy("mask", "h1", "h2")
+    second = texts.join(lookup(opened), ["mask", "h1"]).groupBy("mask", "h1", "h2").agg(F.sum("n").alias("n")).orderBy("mask", "h1", "h2")
     places, into = [(m, h, -1, b) for (m, h), (b, _) in begin.items() if (m, h) not in set(open_at)], {}
     for r in second.toLocalIterator():
         b = into.get((r.mask, r.h1), begin[r.mask, r.h1][0])
@@ -155,7 +190,7 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text_
                 uses.append((m, h1, h2, j, int(k)))
     plan = spark.createDataFrame(uses or [(-1, -1, -1, -1, 0)], "mask bigint, h1 int, p2 int, j int, uses int")
     opened = opened.withColumn("_open", F.lit(True))
-    placed = texts.join(F.broadcast(opened), ["mask", "h1"], "left").withColumn("p2", F.when(F.col("_open"), F.col("h2")).otherwise(-1))
+    placed = texts.join(lookup(opened), ["mask", "h1"], "left").withColumn("p2", F.when(F.col("_open"), F.col("h2")).otherwise(-1))
     mixed = placed.join(plan, ["mask", "h1", "p2"]).join(F.broadcast(number), "j").select(F.element_at("ids", F.col("j")).alias(key), F.col("_name").alias("source"), F.col("n").alias("n_tokens"), "uses")
     mixed = scratch(mixed)
     had = {g.source: sum(n for m, n in sizes if m >> j & 1) for j, g in enumerate(goals)}

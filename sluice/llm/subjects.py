@@ -103,7 +103,7 @@ class Shard:
 
 def start_model(n_subjects: int, seed: int = 11):
     r = np.random.default_rng(seed)
-    return [r.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), r.normal(0, 1, (DIM, n_subjects)).astype(np.float32), np.full(n_subjects, -2.0, np.float32)]
+    return [r.normal(0, 0.03, (BUCKETS, DIM)).astype(np.float32), r.normal(0, 1, (DIM, n_subjects)).astype(np.float32), np.full(n_subjects, -2.0, np.float32)]
 
 
 class Adam:
@@ -190,11 +190,11 @@ def deals(scorer: Scorer, texts: list[str | None], cut: float = 0.0) -> list[tup
 _SHARDS: dict[tuple[str, int], Shard | None] = {}
 
 
-def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, steps: int = 48, rate: float = 0.05, keep: float = 0.9, max_labelled: int = 3_000):
+def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, steps: int = 36, rate: float = 0.06, cycle: int = 12, keep: float = 0.74, max_labelled: int = 3_000):
     """The model and the buckets of word pairs it has seen.
 
     Fitted on at most ``max_labelled`` labelled documents, the first by a hash of their id. Every step is a pass over them: each task
-    sums its gradient, of fixed size, and the driver steps once for all. ``keep`` shrinks the embeddings after every eighth step.
+    sums its gradient, of fixed size, and the driver steps once for all. After every ``cycle`` of steps ``keep`` shrinks the embeddings, and the steps start anew.
     """
     spark = documents.sparkSession
     known = labels.filter(F.col("subject").isin(subjects) & F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
@@ -259,8 +259,9 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str,
         n = np.float32(sum(r.n for r in got))
         adam.step([sum(np.frombuffer(bytes(r[c]), np.float32) for r in got).reshape(x.shape) / n for c, x in zip("ewb", adam.model)])
         now.unpersist()
-        if t % 8 == 0:
+        if t % cycle == 0:
             adam.model[0] *= np.float32(keep)
+            adam = Adam(adam.model, rate)
     whole[0][used] = adam.model[0]
     seen = np.zeros(BUCKETS, bool)
     seen[[_h(g) for g in words if " " in g]] = True

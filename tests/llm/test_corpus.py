@@ -43,6 +43,21 @@ def test_scan_text(spark):
     assert got[12].startswith("crane. Paper beta was read.") and 1 not in got and got[22] == "One line"
 
 
+def test_headers_a_few_edits_apart(spark):
+    heads = ["Harbour Board Minutes of the Year", "Harbour Boord Minutes of the Yaar", "Harbour Board Minuxtes of the Year", "Harbour Board Minutes of the Year", "Quite another line stands here now"]
+    rows = [(n, "s", "f.pdf", n, "\n".join([h, *(f"Body {w} number {n} of all." for w in ("one", "two", "three", "four", "five", "six", "seven"))]), True) for n, h in enumerate(heads, 1)]
+    df = spark.createDataFrame(rows, "page_id bigint, source_id string, file string, page_no int, page_text string, scanned boolean")
+    got = {r.page_id: r.furniture for r in scans.furniture(df).collect()}
+    assert [1 in got[n] for n in range(1, 6)] == [True, True, True, True, False]
+
+
+def test_very_long_words(spark):
+    right = "donau" * 9 + "schiffahrt"
+    words = spark.createDataFrame([(right.replace("schiff", "sch1ff"), 1), ("x" * 300, 1)], "word string, n bigint")
+    fixes = scans.corrections(words, spark.createDataFrame([(right, 9)], "word string, n bigint")).collect()
+    assert [(r.right, r.at) for r in fixes] == [(right, 48)]
+
+
 def test_scans_of_nothing(spark):
     assert scans.analyse(scan_pages(spark).limit(0))[0].count() == 0
 
@@ -326,6 +341,37 @@ def test_flow_costs():
     assert sum(f for (m, j), f in flow.items() if j == 0) == 20 and sum(f for (m, j), f in flow.items() if j == 1) == 10
 
 
+def test_flow_at_its_limits():
+    import time
+
+    r = random.Random(4)
+    masks = set()
+    while len(masks) < mixture.MAX_PATTERNS:
+        masks.add(sum(1 << j for j in r.sample(range(mixture.MAX_TARGETS), r.randint(1, 12))))
+    patterns = [(m, r.randint(10**6, 10**9)) for m in sorted(masks)]
+    targets = [(1 / mixture.MAX_TARGETS, r.randint(1, 4)) for _ in range(mixture.MAX_TARGETS)]
+    total = sum(n for _, n in patterns)
+    began = time.perf_counter()
+    flow = mixture.route(patterns, targets, total)
+    assert time.perf_counter() - began < 60
+    into = Counter()
+    for (_, j), f in flow.items():
+        into[j] += f
+    assert all(v <= round(total / mixture.MAX_TARGETS) for v in into.values()) and sum(into.values()) > 0.99 * total
+
+
+def test_flow_is_of_least_cost():
+    # Against all ways of sending whole units through small random networks.
+    r = random.Random(6)
+    for _ in range(60):
+        arcs = [(a, b, r.randint(0, 2), r.randint(0, 3)) for a, b in ((0, 1), (0, 2), (1, 2), (2, 1), (1, 3), (2, 3))]
+        best = max(
+            ((x[0] + x[1], -sum(f * a[3] for f, a in zip(x, arcs))) for x in __import__("itertools").product(*(range(a[2] + 1) for a in arcs)) if x[0] + x[3] == x[2] + x[4] and x[1] + x[2] == x[3] + x[5]),
+        )
+        f = mixture.min_cost_flow(4, arcs, 0, 3)
+        assert (f[0] + f[1], -sum(x * a[3] for x, a in zip(f, arcs))) == best
+
+
 def labelled(spark, n=240, seed=5):
     r = random.Random(seed)
     terms = {"law": ["witness summons", "appeal hearing", "court ruling"], "sport": ["football pitch", "rowing club", "match day"], "health": ["dental unit", "ward beds", "vaccine stock"]}
