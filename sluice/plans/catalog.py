@@ -177,10 +177,10 @@ def date_from_text(spark, d):
     return o.select("o_orderkey", dates.date_from_text(say, AS_OF).alias("day"))
 
 
-@query(f"select o_orderkey, case when o_orderkey % 5 = 4 then cast({_DAY} + interval 40 day as date) else {_DAY} end as day from orders where year(cast({_DAY} + interval 40 day as date)) <= 2026")
+@query(f"select o_orderkey, case when o_orderkey % 5 = 4 and year(cast({_DAY} + interval 40 day as date)) <= 2026 then cast({_DAY} + interval 40 day as date) else {_DAY} end as day from orders")
 def date_excludes_context(spark, d):
-    """Dates of deadlines and coming events are passed over, with context rules off the first counts; generative."""
-    o = _orders(spark, d).withColumn("other", F.date_add("day", 40)).filter(F.year("other") <= 2026)
+    """Dates of deadlines and coming events are passed over, with context rules off the first plausible one counts; generative."""
+    o = _orders(spark, d).withColumn("other", F.date_add("day", 40))
     k, f = F.col("o_orderkey") % 5, lambda c: F.date_format(c, "MMMM d, yyyy")
     lead = F.when(k == 0, "For the fiscal year ended ").when(k == 1, "Rates are effective ").when(k == 2, "The next meeting is set for ").otherwise("Offers are due by ")
     text = F.concat(lead, f("other"), F.lit(".\nAdopted "), f("day"), F.lit(" by vote."))
@@ -228,19 +228,26 @@ def _read(spark, d) -> DataFrame:
     return _fetched(spark, d, "raw_html").filter(F.length("raw_html") > 0).select("fetch_id", html.read_page("raw_html").alias("read"))
 
 
-@query(r"""select distinct fetch_id, length(raw_html) as html_chars, len(regexp_extract_all(raw_html, '(?i)<script\b'))::int as script_tags from fetched where length(raw_html) > 0""")
-def page_stats(spark, d):
-    return _read(spark, d).select("fetch_id", "read.html_chars", "read.script_tags")
-
-
 _LINKS = r"""pages as (select distinct fetch_id, regexp_replace(raw_html, '(?is)<(script|style|noscript)\b[^<>]*>.*?</(script|style|noscript)\s*>|<!--.*?-->', '', 'g') as h from fetched where length(raw_html) > 0),
     hits as (select fetch_id, unnest(x) as raw, generate_subscripts(x, 1) as k from (select fetch_id, regexp_extract_all(h, '(?is)<a\b[^<>]*?href="([^"]*)"', 1) as x from pages)),
     found as (select fetch_id, raw, (row_number() over (partition by fetch_id order by min(k)) - 1)::int as pos from hits group by fetch_id, raw)"""
 
 
-@query(f"with {_LINKS} select fetch_id, pos, raw as href from found")
+@query(
+    rf"""with {_LINKS}, n as (select fetch_id, count(*) as n from found group by fetch_id)
+    select distinct f.fetch_id, length(raw_html) as html_chars, len(regexp_extract_all(raw_html, '(?i)<script\b'))::int as script_tags, coalesce(n, 0)::int as n_links,
+      contains(raw_html, '/wp-content/') or contains(raw_html, 'api.w.org') as wordpress from fetched f left join n on f.fetch_id = n.fetch_id where length(raw_html) > 0"""
+)
+def page_stats(spark, d):
+    return _read(spark, d).select("fetch_id", "read.html_chars", "read.script_tags", F.size("read.links").alias("n_links"), F.col("read.wp_api").isNotNull().alias("wordpress"))
+
+
+@query(f"with {_LINKS} select fetch_id, pos, raw, case when starts_with(raw, '/') and not starts_with(raw, '//') then 'https://h.example' || raw end as absolute from found")
 def page_links(spark, d):
-    return _read(spark, d).select("fetch_id", F.explode("read.links").alias("l")).select("fetch_id", "l.pos", F.col("l.raw").alias("href"))
+    """Links as written, and as absolute addresses where they are written from the root."""
+    pages = _fetched(spark, d, "raw_html").filter(F.length("raw_html") > 0).select("fetch_id", html.read_page("raw_html", F.lit("https://h.example/a/b")).alias("read"))
+    x = pages.select("fetch_id", F.explode("read.links").alias("l")).select("fetch_id", "l.pos", "l.raw", "l.href")
+    return x.select("fetch_id", "pos", "raw", F.when(F.col("raw").startswith("/") & ~F.col("raw").startswith("//"), F.col("href")).alias("absolute"))
 
 
 # Links with files, numbered details and minutes among them, derived from the pages' own.
@@ -383,10 +390,17 @@ def _probed(spark, d) -> DataFrame:
 def probe_verified(spark, d):
     """Candidates after trying the first three: the first with useful text leads."""
     ranked = probe.candidates(_probed(spark, d))
-    tried = ranked.select("page", "source_type", (F.abs(F.xxhash64("page", "source_type")) % 1000).alias("text_chars"))
+    tried = ranked.select("page", "source_type", ((F.length("page") * 37 + F.length("source_type") * 101) % 1000).alias("text_chars"))
     return probe.verified(ranked, tried).select("page", "source_type", "rank", "verified")
 
 
+_SQL["probe_verified"] = f"""with ranked as ({_SQL["probe_candidates"]}),
+    t as (select *, (length(page) * 37 + length(source_type) * 101) % 1000 >= 500 as good from ranked),
+    f as (select page, min(rank) as first from t where rank <= 3 and good group by page)
+    select page, source_type, row_number() over (partition by page order by (rank <> coalesce(first, -1))::int, rank)::int as rank, case when rank <= 3 and (first is null or rank <= first) then good end as verified
+    from t left join f using (page)"""
+
+
 _STATUS = "case event_id % 9 when 0 then 401 when 1 then 403 when 2 then 404 when 3 then 429 when 4 then 500 when 5 then 503 when 6 then 406 else null end"
 
 
@@ -568,12 +582,11 @@ def truncate_generic(spark, d):
 @query(
     """with d as (select doc_id, text, length(text) as n from documents where text is not null)
     select doc_id, md5(case when tail then text else whole end) as text_md5, case when tail then n end as tail_dropped_at, case when tail then 'trimmed_safe_tail' else 'no_op' end as method
-    from (select *, text || 'BOARD POLICY MANUAL' || repeat('x', 381) as whole, n >= floor((n + 400) * 0.4) and not regexp_matches(text, '[a-zA-Z0-9_]$') and n > 0 as tail from d)
-    where not regexp_matches(text, '[^\\x00-\\x7f]$') and not contains(lower(text), 'policy manual')""".replace("\\\\", "\\")
+    from (select *, text || 'BOARD POLICY MANUAL' || repeat('x', 381) as whole, n >= floor((n + 400) * 0.4) and not regexp_matches(text, '[\\p{L}\\p{N}_]$') and n > 0 as tail from d)""".replace("\\\\", "\\")
 )
 def truncate_tail(spark, d):
     """A closing marker with filler behind every text is cut, if far enough in; generative."""
-    x = _t(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7f]\z") & ~F.lower("text").contains("policy manual"))
+    x = _t(spark, d, "documents").filter("text is not null")
     whole = F.concat("text", F.lit("BOARD POLICY MANUAL" + "x" * 381))
     t = truncate.truncate(whole, 10**9, _SMALL.sized(safe=(r"\bBOARD POLICY MANUAL",)))
     return x.select("doc_id", t.alias("t")).select("doc_id", F.md5(F.col("t.text").cast("binary")).alias("text_md5"), "t.tail_dropped_at", "t.method")
