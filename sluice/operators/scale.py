@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +18,12 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where all tasks run in this process (``local`` masters, as in tests) an unset folder is replaced by one of
-    the process; a cluster without the setting is refused, as each machine would write to a disk of its own.
+    Only where all tasks run on this machine (``local`` masters, as in tests) an unset folder is replaced by one of
+    its own; a cluster without the setting is refused, as each machine would write to a disk of its own.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark.sparkContext, "_sluice_dir", None)
         if base is None:
@@ -52,30 +55,43 @@ def lookup(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
 
 
-def first_rows(df: DataFrame, key: str, *columns: str) -> DataFrame:
+def first_rows(df: DataFrame, key: str, *columns: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each ``key``, for tables in which whole rows are repeated.
 
-    Over files only the key is shuffled: rows beyond the first of a key are found by their place in
-    the files and taken out by an anti join, broadcast if their number is small. Other
+    Over files only keys are shuffled: rows beyond the first of a key are found by their place in
+    the files and taken out by anti joins with broadcast places. Where there are more than ``most`` of them, files are read in
+    groups that have so many (or one file's) each, so that no other column is shuffled at any number. Other
     DataFrames use ``dropDuplicates``. Rows with a null key count as one key.
     """
     wanted = [key, *(c for c in columns if c != key)]
     try:
         if not df.inputFiles():
             raise ValueError("no files")
-        placed = df.select(*wanted, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+        placed = df.select(key, *place)
         placed.schema  # noqa: B018 - analysis fails here where the source has no row index
     except Exception:
         return df.select(*wanted).dropDuplicates([key])
     first = placed.groupBy(key).agg(F.min(F.struct("_file", "_row")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    many = first.count()
-    if not many:
-        return placed.select(*wanted)
-    repeated = first.select(F.col(key).alias("_key"), "_first")
-    if many <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    return (
-        placed.join(repeated, placed[key].eqNullSafe(repeated["_key"]), "left")
-        .filter(F.col("_first").isNull() | (F.col("_first") == F.struct("_file", "_row")))
-        .select(*wanted)
-    )
+    first = scratch(first.select(F.col(key).alias("_key"), "_first"))
+    if first.isEmpty():
+        return df.select(*wanted)
+    more = scratch(placed.join(first, placed[key].eqNullSafe(first["_key"])).filter(F.struct("_file", "_row") != F.col("_first")).select("_file", "_row"))
+    counts = {r._file: r.n for r in more.groupBy("_file").agg(F.count("*").alias("n")).collect()}  # a row for each file at most
+    without = lambda rows, out: rows.select(*wanted, *place).join(F.broadcast(out), ["_file", "_row"], "left_anti").select(*wanted)
+    if sum(counts.values()) <= most:
+        return without(df, more)
+    spark = df.sparkSession
+    read = lambda files: spark.read.schema(df.schema).parquet(*files)
+    plain = lambda p: re.sub(r"^(\w+):/+", r"\1:/", unquote(p))
+    names = {plain(p) for p in counts}
+    clean = [f for f in df.inputFiles() if plain(f) not in names]
+    parts, now, held = [], [], 0
+    for f, n in sorted(counts.items()):
+        if now and held + n > most:
+            parts.append(now)
+            now, held = [], 0
+        now, held = [*now, f], held + n
+    parts.append(now)
+    out = [without(read(files), more.filter(F.col("_file").isin(files))) for files in parts]
+    return reduce(DataFrame.unionByName, [*out, *([read(clean).select(*wanted)] if clean else [])])

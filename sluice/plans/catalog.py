@@ -301,6 +301,20 @@ def links_listing(spark, d):
     return links.listing(_derived(spark, d), r"/details/(\d+)").select("page", "href", "label", "rank")
 
 
+@query(
+    f"""with l as ({_SQL["links_listing"]}) select page, rank, href, href || '/' || case when length(href) % 2 = 0 then 'minutes' else 'b' end || '.pdf' as file, 'Minutes' as label from l where length(href) % 3 <> 0"""
+)
+def links_detail_files(spark, d):
+    """Of each listed detail page its first file that mentions minutes, by a join of the index with the details; generative."""
+    x = _derived(spark, d)
+    file = F.concat(F.lit("/"), F.when(F.length("href") % 2 == 0, "minutes").otherwise("b"), F.lit(".pdf"))
+    own = x.filter(F.col("raw").rlike("^/details/")).select(F.col("href").alias("page"), F.posexplode(F.array(
+        F.struct(F.lit("notes.html").alias("raw"), F.lit("Minutes").alias("label")), F.struct(F.lit("/agenda.pdf").alias("raw"), F.lit("Agenda").alias("label")),
+        F.struct(F.when(F.length("href") % 3 == 0, "/other.pdf").otherwise(file).alias("raw"), F.when(F.length("href") % 3 == 0, "Other").otherwise("Minutes").alias("label")),
+    )).alias("pos", "l")).select("page", "pos", "l.raw", F.concat("page", "l.raw").alias("href"), "l.label")
+    return links.detail_files(links.listing(x, r"/details/(\d+)"), own, "minutes")
+
+
 @query(_ranked("regexp_matches(raw, '/(?:details/(\\d+)|news/)')"))
 def links_listing_unnumbered(spark, d):
     """Where not every link has a number, page order stays."""

@@ -124,6 +124,11 @@ def test_upsert_and_first_rows(spark):
     rep = scratch(spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (None, "n"), (None, "n")], "k int, v string"))
     assert sorted(map(tuple, first_rows(rep, "k", "v").collect()), key=str) == [(1, "x"), (2, None), (None, "n")]
     assert first_rows(rep.limit(0), "k").count() == 0
+    many = scratch(spark.range(4000).selectExpr("cast(id % 300 as int) k", "repeat(cast(id % 300 as string), 9) body").repartition(7))
+    for most in (10, 200_000):  # in groups of files, and at once
+        once = first_rows(many, "k", "body", most=most)
+        assert sorted(map(tuple, once.collect())) == [(k, str(k) * 9) for k in range(300)]
+        assert "body" not in "".join(l for l in once._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in l)
 
 
 def test_schema_and_readers(spark):
