@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ TRUSTED, HEADING, OWN = 1, 2, 4
 _PRIME = 40_503
 
 _FILLER = frozenset(phrases.RESIDUE[0].split())
-#: Rows of letters on a keyboard, both ways: runs along them are what fingers type for filler.
-_ROWS = tuple(r[::way] for r in ("qwertyuiop", "asdfghjkl", "zxcvbnm") for way in (1, -1))
+#: What fingers type for filler: runs of four letters or more along the rows of a keyboard, either way.
+_RUNS = frozenset(r[::way][i:j] for r in ("qwertyuiop", "asdfghjkl", "zxcvbnm") for way in (1, -1) for i in range(len(r)) for j in range(i + 4, len(r) + 1))
 #: Trusted phrases by their longest word, with its place in the phrase.
 _KEYED: dict[str, list[tuple[int, list[str]]]] = {}
 for _p in map(content.tokens, phrases.RESIDUE):
@@ -47,12 +46,6 @@ class Vocabulary(dict):
         return h
 
 
-@lru_cache(100_000)
-def is_run(word: str) -> bool:
-    """Whether the word runs along a row of the keyboard for four letters or more."""
-    return len(word) > 3 and any(word in row for row in _ROWS)
-
-
 def is_trusted(words: list[str]) -> bool:
     """A passage that is certainly residue: a tenth of its words are unfilled fields or several filler words, a quarter are runs of the keyboard, or a trusted phrase is a good part of it."""
     n = len(words)
@@ -61,7 +54,7 @@ def is_trusted(words: list[str]) -> bool:
         return True
     if n > 2 and not _FILLER.isdisjoint(words) and 10 * sum(map(_FILLER.__contains__, words)) >= n and len(_FILLER.intersection(words)) > 1:
         return True
-    if n > 2 and 4 * sum(map(is_run, words)) >= n:
+    if n > 2 and not _RUNS.isdisjoint(words) and 4 * sum(map(_RUNS.__contains__, words)) >= n:
         return True
     if not _KEYED.keys().isdisjoint(words):
         for k, w in enumerate(words):
@@ -71,23 +64,35 @@ def is_trusted(words: list[str]) -> bool:
     return False
 
 
-def page_passages(html: str, vocabulary: Vocabulary):
-    """``passages_of`` a page."""
-    page = blocks(html)
-    return passages_of(page, content.own_blocks(page), vocabulary)
+class Passages(dict):
+    """Hashed words of a text and whether it is trusted; texts of a line or so are remembered, as sites repeat them. Forgets all when it grows too large."""
+
+    def __init__(self) -> None:
+        self.bucket = Vocabulary().__getitem__
+
+    def read(self, text: str) -> tuple[list[int], bool]:
+        words = content.tokens(text)
+        return list(map(self.bucket, words)), bool(words) and is_trusted(words)
+
+    def __missing__(self, text: str) -> tuple[list[int], bool]:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[text] = self.read(text)
+        return got
 
 
-def passages_of(page: Page, own: list[bool], vocabulary: Vocabulary):
+def passages_of(page: Page, own: list[bool], known: Passages):
     """Of one page: lengths, flags and hashed words of its passages (but for link lists), and its own ``p`` elements."""
     n_words, flags, toks, own_p = [], [], [], []
-    bucket = vocabulary.__getitem__
     for b, mine in zip(page.blocks, own):
         if mine and b.p_no and (not own_p or own_p[-1] != b.p_no):
             own_p.append(b.p_no)
-        if (mine or 2 * b.link_chars < len(b.text)) and (words := content.tokens(b.text)):
-            toks.extend(map(bucket, words))
-            n_words.append(len(words))
-            flags.append(TRUSTED * is_trusted(words) | HEADING * (b.tag in content.HEADINGS and (b.tag == "h1" or len(words) < 10)) | OWN * mine)
+        if mine or 2 * b.link_chars < len(b.text):
+            words, trusted = known[b.text] if len(b.text) < 120 else known.read(b.text)
+            if words:
+                toks.extend(words)
+                n_words.append(len(words))
+                flags.append(TRUSTED * trusted | HEADING * (b.tag in content.HEADINGS and (b.tag == "h1" or len(words) < 10)) | OWN * mine)
     return n_words, flags, toks, own_p
 
 
@@ -98,11 +103,12 @@ def passages(pages: DataFrame, key: str, html: str) -> DataFrame:
     """A row for each page with the hashed passages of its own part; ``pages`` has unique keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
+        known = Passages()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                cols = list(zip(*(page_passages(h, vocabulary) for h in part.column(1).to_pylist())))
+                pages = map(blocks, part.column(1).to_pylist())
+                cols = list(zip(*(passages_of(p, content.own_blocks(p), known) for p in pages)))
                 ints = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, ints) for c in cols)], [key, "n_words", "flags", "toks", "own_p"]
