@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Where minutes stop and standing rules begin; words of real procurement events (fixed values).
+#: Where minutes stop and standing rules begin (fixed values).
 SAFE_TAILS = (
     r"(?i)\bBOARD\s+POLICY\s+MANUAL\b", r"(?i)\bPOLICY\s+MANUAL\b", r"(?i)\bBOARD\s+POLICIES\b", r"(?i)\bSCHOOL\s+BOARD\s+POLICY\s+\d{3,4}\b",
     r"(?im)^\s*POLICY\s+\d{3,4}(?:\.\d+)?\b", r"(?i)\bSTANDARD\s+OPERATING\s+PROCEDURES?\b", r"(?i)\bGLOSSARY\s+OF\s+TERMS?\b", r"(?i)\bADMINISTRATIVE\s+REGULATIONS?\b",
 )
+#: Where enclosures begin, which may still matter (fixed values).
 RISKY_TAILS = (r"(?i)\bAPPENDIX\s+[A-Z]\b", r"(?i)\bEXHIBIT\s+[A-Z]\b", r"(?i)\bATTACHMENT\s+[A-Z0-9]\b")
+#: Words of real procurement events (fixed values).
 KEEP = (
     r"(?i)\b(?:AUTHORIZE|APPROVE|ADOPT|RATIFY|AWARD|RENEW|EXECUTE)\b(?:[^.\n]{0,80})\b(?:contract|agreement|amendment|purchase\s+order|renewal|RFP|RFQ|grant\s+award|award)\b",
     r"\b(?:Contract|Agreement|Amendment|Renewal|Partnership|MOU)\s+with\s+(?:the\s+)?[A-Z][A-Za-z0-9&.\-]+",

@@ -89,17 +89,35 @@ def fold_memory(runs: DataFrame, source: str = "source_id", at: str = "started_a
     return got.withColumn("quarantined", rests).withColumn("quarantine_reason", F.when(rests, _reason(F.col("consecutive_failures"), F.col("success_count"), F.col("last_ok_at"))))
 
 
-def streaks(runs: DataFrame, source: str = "source_id", at: str = "started_at", tie: str = "run_id") -> DataFrame:
+def streaks(runs: DataFrame, source: str = "source_id", at: str = "started_at", tie: str = "run_id", per: str = "day") -> DataFrame:
     """Every run with the failures in a row up to it and the status of the run before.
 
-    The one operator that sorts a source's runs within a task (spilling to disk where they are many), as every run
-    needs its place; the memory itself comes from ``fold_memory``, which does not.
+    Two levels keep a source of any number of runs out of one task: runs are ordered within each stretch of time (``per``) only, and what
+    a stretch takes over from those before comes from one row for each stretch. Runs without a time are a stretch of their own, the first.
     """
-    w = Window.partitionBy(source).orderBy(F.col(at).asc_nulls_first(), tie)
-    ok = (F.col("status") == "ok").cast("int")
-    island = runs.withColumn("_island", F.sum(ok).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("previous_status", F.lag("status").over(w))
-    inside = Window.partitionBy(source, "_island").orderBy(F.col(at).asc_nulls_first(), tie).rowsBetween(Window.unboundedPreceding, 0)
-    return island.withColumn("failures_in_a_row", F.sum(F.lit(1) - ok).over(inside)).drop("_island")
+    x = runs.withColumn("_part", F.date_trunc(per, at))
+    key, ok = F.struct(F.col(at), F.col(tie)), F.col("status") == "ok"
+    by = [F.col(source).eqNullSafe(F.col("_s")), F.col("_part").eqNullSafe(F.col("_p"))]
+    named = lambda df: df.withColumnRenamed(source, "_s").withColumnRenamed("_part", "_p")
+    ends = x.groupBy(source, "_part").agg(F.max(F.when(ok, key)).alias("_ok"), F.max_by("status", key).alias("_last"))
+    # Failures of a stretch behind its last ok (all where it has none).
+    tail = x.join(named(ends.select(source, "_part", "_ok")), by).groupBy(source, "_part").agg(F.count_if(~ok & (F.col("_ok").isNull() | (key > F.col("_ok")))).alias("_tail"))
+    w = Window.partitionBy(source).orderBy(F.col("_part").asc_nulls_first())
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = ends.join(named(tail), by).select(source, "_part", "_last", "_tail", F.col("_ok").isNotNull().cast("int").alias("_some"))
+    parts = parts.withColumn("_run", F.sum("_some").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.coalesce(F.sum("_tail").over(before), F.lit(0)))
+    # What lies before the last stretch with an ok no longer counts.
+    parts = parts.withColumn("_gone", F.max(F.when(F.col("_some") == 1, F.col("_total"))).over(before))
+    parts = parts.select(source, "_part", (F.col("_total") - F.coalesce("_gone", F.lit(0))).alias("_carry"), F.lag("_last").over(w).alias("_before"))
+    inner = Window.partitionBy(source, "_part").orderBy(F.col(at).asc_nulls_first(), tie)
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    y = x.withColumn("_island", F.sum(ok.cast("int")).over(upto)).withColumn("_prev", F.lag("status").over(inner)).withColumn("_n", F.row_number().over(inner))
+    y = y.withColumn("_fails", F.sum((~ok).cast("int")).over(Window.partitionBy(source, "_part", "_island").orderBy(F.col(at).asc_nulls_first(), tie).rowsBetween(Window.unboundedPreceding, 0)))
+    y = y.join(named(parts), by)
+    return y.select(
+        *runs.columns, F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_prev")).alias("previous_status"),
+        (F.col("_fails") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)).alias("failures_in_a_row"),
+    )
 
 
 def select_recipes(recipes: DataFrame, memory: DataFrame, only: list[str] | None = None, include_quarantined: bool = False, key: str = "source_id") -> DataFrame:

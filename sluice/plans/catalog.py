@@ -485,31 +485,39 @@ def all_clean(spark, d):
 _FOLD = (
     _RUNS
     + """,
-    i as (select *, (status = 'ok')::int as ok, sum((status = 'ok')::int) over (partition by source_id order by started_at nulls first, run_id rows unbounded preceding) as island,
+    i as (select *, (status = 'ok')::int as ok, case when run_id % 4 <> 0 then '^https://h' || (run_id % 3) || '/[0-9]+$' end as pattern, sum((status = 'ok')::int) over (partition by source_id order by started_at nulls first, run_id rows unbounded preceding) as island,
       row_number() over (partition by source_id order by started_at desc nulls last, run_id desc) as back from runs where source_id is not null),
     m as (select source_id, max(island) as top from i group by source_id),
     f as (select i.source_id, sum(ok)::bigint as success_count, sum(1 - ok)::bigint as failure_count, (count(*) filter (island = top and ok = 0)) as consecutive_failures,
       max(status) filter (back = 1) as last_status, max(started_at) filter (island = top and ok = 1) as last_ok_at, max(started_at) filter (back = 1) as last_run_at,
-      max(case when ok = 0 then error end) filter (back = 1) as last_error from i join m using (source_id) group by i.source_id)"""
+      max(case when ok = 0 then error end) filter (back = 1) as last_error, arg_min(pattern, back) filter (ok = 1 and pattern is not null) as doc_url_pattern,
+      coalesce(max(case when ok = 1 then pattern end) filter (back = 1) <> arg_min(pattern, back) filter (back > 1 and ok = 1 and pattern is not null), false) as shape_changed from i join m using (source_id) group by i.source_id)"""
 )
 
 
-@query(f"with {_FOLD} select *, consecutive_failures >= 3 as quarantined from f")
+def _patterned(spark, d) -> DataFrame:
+    """Runs with a source, each with the pattern that its addresses agree on, if they do."""
+    pattern = F.when(F.col("run_id") % 4 != 0, F.concat(F.lit("^https://h"), (F.col("run_id") % 3).cast("string"), F.lit("/[0-9]+$")))
+    return _runs(spark, d).filter("source_id is not null").withColumn("pattern", pattern)
+
+
+@query(
+    f"""with {_FOLD} select f.* exclude (shape_changed), consecutive_failures >= 3 as quarantined,
+      case when consecutive_failures >= 3 then case when success_count = 0 then consecutive_failures || ' runs, never succeeded'
+        else consecutive_failures || ' consecutive failures since ' || strftime(last_ok_at, '%Y-%m-%dT%H:%M:%S') end end as quarantine_reason from f"""
+)
 def memory_fold(spark, d):
-    r = _runs(spark, d).filter("source_id is not null")
-    return runs.fold_memory(r).drop("doc_url_pattern", "quarantine_reason")
+    return runs.fold_memory(_patterned(spark, d), pattern="pattern")
 
 
 @query(f"with {_FOLD} select *, consecutive_failures >= 3 as quarantined from f")
 def memory_fold_stream(spark, d):
     """The same fold as a stateful stream over the journal, drained once."""
-    from uuid import uuid4
-
-    from sluice.operators.scale import shared_dir
+    from sluice.operators.scale import scratch_path
     from sluice.streaming.memory import memory_stream, use_rocksdb
 
-    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
-    r = _runs(spark, d).filter("source_id is not null").withColumn("pattern", F.lit(None).cast("string"))
+    base = scratch_path(spark)
+    r = _patterned(spark, d)
     r.write.parquet(f"{base}/runs")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
@@ -521,7 +529,7 @@ def memory_fold_stream(spark, d):
         write.trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
-    return spark.read.parquet(f"{base}/memory").drop("doc_url_pattern", "shape_changed")
+    return spark.read.parquet(f"{base}/memory")
 
 
 @query(
