@@ -198,14 +198,15 @@ def test_parts_lose_no_pair():
         b = a[:]
         for _ in range(n // 10):
             b[r.randrange(n)] = 100 + r.randrange(40)
-        rows = history.text_rows([[[a]], [[b]]], exhaustive=True)
+        names = [c.split()[0] for c in history.TEXT.split(", ")]
+        rows = [dict(zip(names, x)) for x in history.text_rows([[[a]], [[b]]], exhaustive=True)]
         if history.common_words(a, b) < 0.9 * n:
             continue
         kept = []
         for row in rows:
             parts, at = set(), 0
-            for m, drop in zip(row[8].tolist(), row[9].tolist()):
-                parts |= set(sorted(row[7][at : at + m].tolist())[: m - drop])
+            for m, drop in zip(row["part_n"].tolist(), row["part_drop"].tolist()):
+                parts |= set(sorted(row["parts"][at : at + m].tolist())[: m - drop])
                 at += m
             kept.append(parts)
         assert kept[0] & kept[1]
