@@ -10,6 +10,7 @@ vector of scores, and whole corpora are scored by sums of those.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 import uuid
@@ -29,7 +30,7 @@ BUCKETS, DIM = 1 << 16, 16
 #: A word or pair of words counts in training if it stands in so many labelled documents.
 LEAST_DOCS = 3
 #: Labelled documents of a training task, and most tasks (so many gradients reach the driver in a step).
-TASK_DOCUMENTS, MAX_TASKS = 400, 32
+TASK_DOCUMENTS, MAX_TASKS = 1_000, 32
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _DROP = re.compile(r"[​-‏⁠­﻿]")
@@ -187,7 +188,7 @@ def deals(scorer: Scorer, texts: list[str | None], cut: float = 0.0) -> list[tup
 
 
 #: Shards that a worker has built, by fit and partition; only those of the latest fit are kept.
-_SHARDS: dict[tuple[str, int], Shard | None] = {}
+_SHARDS: dict[tuple[str, int], Shard] = {}
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, steps: int = 36, rate: float = 0.06, cycle: int = 12, keep: float = 0.74, max_labelled: int = 3_000):
@@ -222,6 +223,24 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str,
     used = np.unique([f for g in words for f in word_features(g)])
     told = spark.sparkContext.broadcast((words, {int(f): k for k, f in enumerate(used)}))
     run_id = uuid.uuid4().hex
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        (vocab, row), docs, ys = told.value, [], []
+        for batch in batches:
+            for subs, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                y = np.zeros(len(subjects), np.float32)
+                y[[number[s] for s in subs]] = 1
+                for s in sentences(t):
+                    g = [w for w in grams(s) if w in vocab]
+                    if g:
+                        docs.append(g), ys.append(y)
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pickle.dumps(Shard(docs, np.array(ys), row))], pa.binary())], ["part", "shard"])
+
+    # Texts are read once; the steps read index arrays.
+    built = scratch(mine.select("subjects", "text").mapInArrow(build, "part int, shard binary"))
     whole = start_model(len(subjects))
     # Only the rows of words that occur are trained, and travel.
     adam = Adam([whole[0][used], whole[1], whole[2]], rate)
@@ -230,30 +249,17 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str,
         now = spark.sparkContext.broadcast(adam.model)
 
         def train(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            at = (run_id, TaskContext.get().partitionId())
-            rows = [(s, t) for b in batches for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            if not rows:
-                return
             for old in [k for k in _SHARDS if k[0] != run_id]:
                 del _SHARDS[old]
-            if at not in _SHARDS:
-                (vocab, row), docs, ys = told.value, [], []
-                for subs, t in rows:
-                    y = np.zeros(len(subjects), np.float32)
-                    y[[number[s] for s in subs]] = 1
-                    for s in sentences(t):
-                        g = [w for w in grams(s) if w in vocab]
-                        if g:
-                            docs.append(g), ys.append(y)
-                _SHARDS[at] = Shard(docs, np.array(ys), row) if docs else None
-            shard = _SHARDS[at]
-            if shard is not None:
-                out = shard.gradient(*now.value)
-                yield pa.RecordBatch.from_arrays([pa.array([len(shard.n)], pa.int64()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in out)], ["n", "e", "w", "b"])
-
-        got = mine.coalesce(tasks).select("subjects", "text").mapInArrow(train, "n bigint, e binary, w binary, b binary").collect()  # at most MAX_TASKS gradients
+            for batch in batches:
+                for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    at = (run_id, part)
+                    if at not in _SHARDS:
+                        _SHARDS[at] = pickle.loads(packed.as_buffer())
+                    out = _SHARDS[at].gradient(*now.value)
+                    yield pa.RecordBatch.from_arrays([pa.array([len(_SHARDS[at].n)], pa.int64()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in out)], ["n", "e", "w", "b"])
+
+        got = built.mapInArrow(train, "n bigint, e binary, w binary, b binary").collect()  # at most MAX_TASKS gradients
         if not got:
             return None, None
         n = np.float32(sum(r.n for r in got))
