@@ -136,3 +136,8 @@ def test_schema_and_readers(spark):
     assert analysis.clean_schema(schema) == {"type": "object", "properties": {"title": {"type": "string"}}}
     df = spark.createDataFrame([("a" * 100, "b" * 200, "c"), ("a", "b" * 200, "c"), ("a", "b", "c"), (None, None, None)], "p string, y string, o string")
     assert [r[0].method for r in df.select(analysis.choose_reader(F.col("p"), F.col("y"), F.col("o"))).collect()] == ["pdfplumber", "pypdf", "ocr", "none"]
+
+
+def test_next_step_of_an_unlisted_reason(spark):
+    default = "No known way through. Revisit if the site changes."
+    assert col(spark, ["other", None, "", "WAF", "waf"], probe.next_step_for) == [default] * 4 + [probe.NEXT_STEPS["waf"]]
