@@ -66,6 +66,20 @@ def test_residue_of_nothing(spark):
     assert residue.residue(df.filter("fetch_id < 10")).filter("is_residue").count() == 0
 
 
+def test_residue_of_kinds_without_a_neighbour(spark):
+    """Messages, notices and filler of a kind that no other page of the corpus shares words with; a title alone is no residue."""
+    bad = {
+        100: ["Scripts are required to show this content.", "Use a newer browser and come back."],
+        101: ["Texte d'exemple pour la page.", "Le texte viendra ici.", "Saisissez un titre."],
+        102: ["Sesión caducada", "Pruebe de nuevo más tarde."],
+        103: ["Sitzung abgelaufen", "Sie haben keine Berechtigung."],
+        104: ["Dummy entry, please ignore.", "Body text goes here."],
+    }
+    rows = [(k, page(v)) for k, v in bad.items()] + [(i, page(random.Random(i).sample(OWN, 3))) for i in range(20)] + [(200, page([]))]
+    got = residue.residue(spark.createDataFrame(rows, "fetch_id bigint, raw_html string")).filter("is_residue").collect()
+    assert {r.fetch_id for r in got} == set(bad)
+
+
 def brute_lines(pages):
     docs, seen = Counter(), defaultdict(set)
     for source, key, html in pages:
