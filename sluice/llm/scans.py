@@ -35,8 +35,10 @@ _NUMERIC = re.compile(r"[\dlIoO.,:/-]*\d[\dlIoO.,:/-]*$")
 _NUMBER = re.compile(r"(?i)^[-–—\s\[(]*(?:page|p\.|pag\.|seite|s\.|página|pág\.|n[°o.])?\s*([0-9loi]{1,5}|[ivxl]{1,7})(?:\s*(?:of|de|von|sur|/)\s*[0-9lo]{1,5})?[-–—\s\])]*$")
 _PART = re.compile(r"\s{3,}|\s\|\s")
 EDGE = 3
-#: Edge lines of a file are compared by edit distance if their keys begin or end with the same characters; they are one line within this part of their length.
+#: Edge lines of a file are one line if the edit distance of their keys is within this part of the shorter one's length; keys of up to ``BAND`` characters have no edit to spare.
 BAND, EDITS = 8, 0.12
+#: So many keys of a file and side are compared all with all; more are first looked up by their pieces.
+SMALL = 300
 
 
 def _roman(s: str) -> int | None:
@@ -122,17 +124,82 @@ def _edges(df: DataFrame) -> DataFrame:
     )
 
 
-def near_keys(keys: DataFrame) -> DataFrame:
-    """``file, side, key`` of keys (``file, side, key, n, body``, each once) a few edits from the most common key of their file and side that begins or ends alike; that key as well.
+def edits_allowed(length: int) -> int:
+    """Edits within which keys are one, if the shorter has this length."""
+    return max(1, int(length * EDITS))
 
-    Each key is held against one other for its beginning and one for its end, so a file of any length makes no more than two comparisons for a key.
+
+def _cuts(length: int) -> list[tuple[int, int]]:
+    """``start, length`` of the pieces of a key, one more than edits are allowed, so that one of them is unchanged in every near key."""
+    n = edits_allowed(length) + 1
+    at = [i * length // n for i in range(n + 1)]
+    return [(p, q - p) for p, q in zip(at, at[1:])]
+
+
+def pieces(body: str) -> list[tuple[int, int, int]]:
+    """``length, number, hash`` of the pieces of a key."""
+    return [(len(body), i, _long(body[p : p + n])) for i, (p, n) in enumerate(_cuts(len(body)))]
+
+
+def probes(body: str) -> set[tuple[int, int, int]]:
+    """The ``pieces`` that a near key that is not longer can share with this one.
+
+    Of a pair's unchanged pieces one has at most as many edits before it as pieces, and at most as many behind it (Li and others, Pass-Join): only those places are read.
+    """
+    found = set()
+    for length in range(BAND + 1, len(body) + 1):
+        more, most = len(body) - length, edits_allowed(length)
+        if more <= most:
+            for i, (p, n) in enumerate(_cuts(length)):
+                low, high = max(0, p - i, p + more - (most - i)), min(len(body) - n, p + i, p + more + most - i)
+                found.update((length, i, _long(body[q : q + n])) for q in range(low, high + 1))
+    return found
+
+
+def _cut(keys: DataFrame, how) -> DataFrame:
+    """``file, side, key, body`` and a row for each of what ``how`` makes of a body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows = [(k, *x) for k, b in enumerate(part.column(3).to_pylist()) for x in how(b)]
+                of, *cols = list(zip(*rows)) or [()] * 4
+                types = [pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(of, pa.int32())).columns, *(pa.array(c, t) for c, t in zip(cols, types))], ["file", "side", "key", "body", "length", "piece", "hash"])
+
+    return keys.select("file", "side", "key", "body").mapInArrow(run, "file string, side int, key bigint, body string, length int, piece int, hash bigint")
+
+
+def near_keys(keys: DataFrame, small: int = SMALL) -> DataFrame:
+    """``file, side, key`` of the keys (``file, side, key, n, body``, each once) that have another one of their file and side within ``EDITS``.
+
+    Up to ``small`` keys of a file and side are held against each other. Of more, keys are first held against the most common one that begins or ends
+    alike; those still without a partner meet every key that has one of their pieces where it can be. No pair is lost either way.
     """
     k = keys.filter(F.length("body") > BAND)
-    bands = k.select("file", "side", "key", "n", "body", F.explode(F.array(F.concat(F.lit("<"), F.substring("body", 1, BAND)), F.concat(F.lit(">"), F.expr(f"right(body, {BAND})")))).alias("band"))
-    top = bands.groupBy("file", "side", "band").agg(F.max(F.struct("n", "key", "body")).alias("top"), F.count("*").alias("many")).filter("many > 1")
-    most = F.greatest(F.lit(1), F.floor(F.least(F.length("body"), F.length("top.body")) * EDITS)).cast("int")
-    near = bands.join(top, ["file", "side", "band"]).filter(F.col("key") != F.col("top.key")).filter(F.abs(F.length("body") - F.length("top.body")) <= most).filter(F.levenshtein("body", "top.body") <= most)
-    return near.select("file", "side", F.explode(F.array("key", "top.key")).alias("key")).distinct()
+    many = lookup(k.groupBy("file", "side").count().filter(F.col("count") > small).select("file", "side"))
+    short = F.least(F.length("x.body"), F.length("y.body"))
+    most = F.greatest(F.lit(1), F.floor(short * EDITS)).cast("int")
+    near = (F.abs(F.length("x.body") - F.length("y.body")) <= most) & (F.levenshtein("x.body", "y.body") <= most)
+    both = F.explode(F.array("x.key", "y.key")).alias("key")
+
+    def pairs(x: DataFrame, y: DataFrame, by: list[str], apart) -> DataFrame:
+        return x.alias("x").join(y.alias("y"), by).filter(apart).filter(near).select("file", "side", both)
+
+    few = k.join(many, ["file", "side"], "left_anti").select("file", "side", "key", "body")
+    found = pairs(few, few, ["file", "side"], F.col("x.key") < F.col("y.key"))
+    large = scratch(k.join(many, ["file", "side"], "left_semi"))
+    if large.isEmpty():
+        return found.distinct()
+    bands = large.select("file", "side", "key", "n", "body", F.explode(F.array(F.concat(F.lit("<"), F.substring("body", 1, BAND)), F.concat(F.lit(">"), F.expr(f"right(body, {BAND})")))).alias("band"))
+    top = bands.groupBy("file", "side", "band").agg(F.max(F.struct("n", "key", "body")).alias("top")).select("file", "side", "band", "top.key", "top.body")
+    easy = scratch(pairs(bands, top, ["file", "side", "band"], F.col("x.key") != F.col("y.key")).distinct())
+    rest = scratch(large.join(easy, ["file", "side", "key"], "left_anti"))
+    by = ["file", "side", "length", "piece", "hash"]
+    apart = F.col("x.key") != F.col("y.key")
+    hard = pairs(_cut(rest, pieces), _cut(large, probes), by, apart).unionByName(pairs(_cut(large, pieces), _cut(rest, probes), by, apart))
+    return found.unionByName(easy).unionByName(hard).distinct()
 
 
 def furniture(scanned: DataFrame) -> DataFrame:

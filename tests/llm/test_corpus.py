@@ -51,6 +51,27 @@ def test_headers_a_few_edits_apart(spark):
     assert [1 in got[n] for n in range(1, 6)] == [True, True, True, True, False]
 
 
+def test_near_keys_lose_no_pair(spark):
+    """Partners that are not the most common key of their beginning or end are met, in small files and by pieces in large ones."""
+    r = random.Random(1)
+    edit = lambda t, k: t if not k else edit((t[: (i := r.randrange(len(t)))] + r.choice(["", "a", "bc"]) + t[i + r.randrange(2) :]) or "a", k - 1)
+    base = ["".join(r.choice("abcd ") for _ in range(n)) for n in (9, 12, 17, 25, 40, 60)]
+    bodies = sorted({edit(b, r.randrange(8)) for b in base for _ in range(8)})
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    near = lambda a, b: min(len(a), len(b)) > scans.BAND and apart(a, b) <= scans.edits_allowed(min(len(a), len(b)))
+    want = {i for i, a in enumerate(bodies) if any(i != j and near(a, b) for j, b in enumerate(bodies))}
+    df = spark.createDataFrame([("f", 0, i, 9 - i % 9, b) for i, b in enumerate(bodies)], "file string, side int, key bigint, n bigint, body string")
+    assert len(want) > 10 and all({x.key for x in scans.near_keys(df, small).collect()} == want for small in (300, 5))
+
+
 def test_very_long_words(spark):
     right = "donau" * 9 + "schiffahrt"
     words = spark.createDataFrame([(right.replace("schiff", "sch1ff"), 1), ("x" * 300, 1)], "word string, n bigint")
