@@ -156,6 +156,17 @@ def test_history_equals_brute_force(spark):
     assert history.repeated_documents(df.limit(0)).count() == 0
 
 
+def test_texts_with_only_a_common_paragraph_in_common(spark):
+    """A paragraph in more texts than ``COMMON_PARAGRAPH`` still leads from a text to its edited copy, in the history and within a batch."""
+    r = random.Random(3)
+    common = " ".join(f"c{i}" for i in range(30)) + "."
+    own = [" ".join(f"w{r.randrange(4000)}" for _ in range(30)) + "." for _ in range(history.COMMON_PARAGRAPH + 10)]
+    edit = lambda t: t.replace(t.split()[9], "edited", 1)
+    rows = [(i, 0, None, [common, t]) for i, t in enumerate(own[:-1])] + [(100, 1, None, [common, edit(own[7])]), (101, 1, None, [common, own[-1]]), (102, 2, None, [common, edit(own[-1])])]
+    got = {tuple(x) for x in history.repeated_documents(history_frame(spark, rows)).collect()}
+    assert got == brute_history(rows) == {(7, 100), (101, 102)}
+
+
 def test_history_batch_by_batch(spark, tmp_path):
     from sluice.functions.canonical import canonical_url
 
