@@ -1,13 +1,16 @@
 """Scan repair, history, tokens, mixtures and subjects."""
 
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import history, inputs, mixture, queries, scans, subjects, tokens
+from sluice.functions import markup
+from sluice.llm import content, history, inputs, mixture, queries, residue, scans, subjects, tokens
 from sluice.operators.scale import scratch, scratch_path
 
 TEXT = "The committee heard a report on the winter shelter and asked staff to return with costs. Members noted the long-term plan for the harbour crane and the meeting was adjourned. "
@@ -212,6 +215,56 @@ def test_a_check_shuffles_no_history(spark, tmp_path):
     assert "FileScan" in plan and "Bucketed: true" in plan and exchanged_scans(plan, "Bucketed: true") == 0
 
 
+def test_the_joins_of_a_check_keep_to_the_buckets(spark, tmp_path, monkeypatch):
+    store = history.History(spark, str(tmp_path), buckets=4)
+    rows = lambda n: spark.createDataFrame([(n + i, n, f"u{i}") for i in range(50)], "id bigint, batch int, url_key string")
+    texts = spark.createDataFrame([], "id bigint, " + history.TEXT)
+    plans, write = [], history.scratch
+    monkeypatch.setattr(history, "scratch", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or write(df))
+    monkeypatch.setattr(history, "lookup", lambda df: df)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        store.append(rows(0), texts, store.check(rows(0), texts))
+        plans.clear()
+        found = store.check(rows(100), texts)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert {r.id: r.root for r in found.collect()} == {100 + i: i for i in range(50)}
+    # What a batch and the history have in common: beneath the joins by key nothing is moved.
+    joins = [p for columns, p in plans if "least" in columns and "root" in columns and "new" in columns]
+    lines = joins[0].split("\n")
+    depth = lambda x: re.search(r"[A-Z]", x).start()
+    by_key = [k for k, x in enumerate(lines) if re.search(r"SortMergeJoin \[key", x)]
+    assert len(joins) == 1 and len(by_key) == 2
+    for k in by_key:
+        below = lines[k + 1 : next((j for j in range(k + 1, len(lines)) if depth(lines[j]) <= depth(lines[k])), len(lines))]
+        assert sum("Bucketed: true" in x for x in below) == 2 and not any("Exchange" in x for x in below)
+
+
+def test_words_are_looked_into_once(monkeypatch):
+    """Of pages that share their words each word is taken apart once, not once for each passage, and passages and texts are those of each page alone."""
+    words = (TEXT * 3).split()
+    line = lambda k: " ".join(words[k:] + words[:k])
+    pages = [markup.blocks(f"<h1>Report {k}</h1>" + "".join(f"<p>{line(k + j)}</p>" for j in range(3)) + "<p>Dear {{name}}, 12 of 345 lines... are here</p>") for k in range(40)]
+    looked, take = [], content._WORD.findall
+    monkeypatch.setattr(content, "_WORD", type("Pattern", (), {"findall": lambda self, text: looked.append(text) or take(text)})())
+    cols, number, paragraphs = residue.passages_of(pages, known := history.Words())
+    assert sum(map(len, looked)) < 3 * len(pages[0].blocks[1].text)
+    *texts, place = history.sentences(number, paragraphs, known)
+    assert place.tolist() == list(range(40))
+    rows = history.hashed_rows(*texts)
+    for k, page in enumerate(pages):
+        own = content.own_blocks(page)
+        toks = [[zlib.crc32(w.encode()) % residue.BUCKETS for w in content.tokens(b.text)] for b in page.blocks]
+        assert cols[0][k].as_py() == [len(t) for t in toks] and cols[2][k].as_py() == sum(toks, [])
+        assert [bool(f & residue.TRUSTED) for f in cols[1][k].as_py()] == [residue.is_trusted(content.tokens(b.text)) for b in page.blocks]
+        want = history.text_rows([history.text_words([b.text for b, o in zip(page.blocks, own) if o and b.tag != "h1"], history.Words())])[0]
+        assert all(np.array_equal(x, y) for x, y in zip(rows[k], want))
+
+
 def test_hashes_of_a_batch_are_those_of_each_text():
     r = random.Random(2)
     texts = [[[[r.randrange(1 << 40) for _ in range(r.randint(1, 20))] for _ in range(r.randint(1, 3))] for _ in range(r.randint(1, 6))] for _ in range(20)]
